@@ -63,5 +63,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread_on: str | None = None) -> DataFrame:
+    """Read one driver table. ``spread_on``: see :func:`spread_small_input`."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_small_input(df, spread_on) if spread_on else df
+
+
+def spread_small_input(df: DataFrame, key: str) -> DataFrame:
+    """Hash-distribute a scan that yields fewer splits than the cluster has cores.
+
+    Text work (tokenising, decoding, scoring) costs CPU per row; a small file stored as one row
+    group is read by one task. The split count is known at planning time (no job runs). A large
+    input already has enough splits and is returned unchanged, so no shuffle is added at scale.
+    """
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
