@@ -25,15 +25,17 @@ ColumnOrName = Column | str
 
 
 def pair_turns(conversations: DataFrame, q_role: str | None = "user", a_role: str | None = "assistant",
-               key: str = "conv_id", order: str = "turn") -> DataFrame:
+               key: str = "conv_id", order: str = "turn", carry: list[str] | None = None) -> DataFrame:
     """Each turn paired with the next turn of the same conversation.
 
     Turns are numbered densely from 0, so "next" is ``turn + 1`` and the pairing is an equi-join on
     the unique ``(conv_id, turn)`` key. Roles filter both sides before the join (pushed to the scan).
     """
-    q = conversations.select(F.col(key), F.col(order), F.col("role").alias("q_role"), F.col("text").alias("q"))
+    carry = carry or []
+    q = conversations.select(F.col(key), F.col(order), F.col("role").alias("q_role"), F.col("text").alias("q"),
+                             *[F.col(c).alias(f"q_{c}") for c in carry])
     a = conversations.select(F.col(key), (F.col(order) - 1).alias(order), F.col("role").alias("a_role"),
-                             F.col("text").alias("a"))
+                             F.col("text").alias("a"), *[F.col(c).alias(f"a_{c}") for c in carry])
     if q_role is not None:
         q = q.filter(F.col("q_role") == q_role)
     if a_role is not None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from triplematch.operators import scoring
 from triplematch.plans import sqlfrag as q
+from triplematch.plans import tagging
 from triplematch.plans.registry import register
 from triplematch.session import table
 
@@ -56,3 +57,155 @@ SELECT conv_id, turn, round({q.punish(q.t1('qw', 'aw'))}, 6) AS score FROM w
 def dialogue_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = dialogue_scores(spark, sf_dir, "v1")
     return df.select("conv_id", "turn", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- extracted triples (tagged turns)
+
+TURN_TID = "conv_id * 100000 + turn"
+
+
+def turns_with_triples(spark: SparkSession, sf_dir: str, seed: int = 0) -> DataFrame:
+    conv = table(spark, sf_dir, "conversations", spread_on="conv_id")
+    return conv.withColumn("triples", tagging.text_triples(F.col("conv_id") * 100000 + F.col("turn"), F.col("text"), seed))
+
+
+def extracted_pairs(spark: SparkSession, sf_dir: str, fallback: bool = True) -> DataFrame:
+    pairs = scoring.pair_turns(turns_with_triples(spark, sf_dir), carry=["triples"])
+    if fallback:
+        pairs = scoring.with_fallback(pairs, "q_triples", "q")
+        pairs = scoring.with_fallback(pairs, "a_triples", "a")
+    return pairs
+
+
+def _extracted_sql(fallback: bool = True) -> str:
+    def side(alias: str) -> str:
+        t = f"coalesce({alias}_t.triples, [])"
+        if fallback:
+            return f"CASE WHEN len({t}) = 0 THEN [{q.plain_words(alias + '.text')}] ELSE {t} END"
+        return t
+
+    return f"""
+    {tagging.sql_text_triples('conversations', TURN_TID)},
+    xpairs AS (
+      SELECT qc.conv_id, qc.turn, qc.text AS q, ac.text AS a, {side('qc')} AS qtr, {side('ac')} AS atr
+      FROM conversations qc JOIN conversations ac ON ac.conv_id = qc.conv_id AND ac.turn = qc.turn + 1
+      LEFT JOIN t_triples qc_t ON qc_t.tid = qc.conv_id * 100000 + qc.turn
+      LEFT JOIN t_triples ac_t ON ac_t.tid = ac.conv_id * 100000 + ac.turn
+      WHERE qc.role = 'user' AND ac.role = 'assistant')"""
+
+
+def _sql_v1(qt: str, at: str) -> str:
+    inner = q.t1(q.words("array_to_string(t1_, ' ')"), q.words("array_to_string(t2_, ' ')"), tag="v1")
+    return f"list_avg(list_transform({qt}, lambda t1_: list_max(list_transform({at}, lambda t2_: {inner}))))"
+
+
+def _sql_elements(triples: str) -> str:
+    return f"list_transform(flatten({triples}), lambda e_: {q.plain_words('e_')})"
+
+
+def _sql_v2(qt: str, at: str) -> str:
+    inner = q.t1(q.words("array_to_string(e1_, ' ')"), q.words("array_to_string(e2_, ' ')"), tag="v2")
+    best = f"list_transform({_sql_elements(qt)}, lambda e1_: list_max(list_transform({_sql_elements(at)}, lambda e2_: {inner})))"
+    k = f"least(len(flatten({qt})), len(flatten({at})))"
+    return f"list_avg(list_slice(list_sort({best}, 'DESC'), 1, {k}))"
+
+
+V1_SQL = f"""
+WITH {_extracted_sql()}
+SELECT conv_id, turn, len(qtr) AS n_q_triples, len(atr) AS n_a_triples,
+       round({q.punish(_sql_v1('qtr', 'atr'))}, 6) AS score FROM xpairs
+"""
+
+
+@register("dialogue_extracted_v1", "E2 P3 P4 S13 W7 J6 T1 A7 F6 H8", V1_SQL)
+def dialogue_extracted_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = scoring.score_pairs(extracted_pairs(spark, sf_dir), mode="v1")
+    return df.select("conv_id", "turn", F.size("q_triples").alias("n_q_triples"),
+                     F.size("a_triples").alias("n_a_triples"), F.round("score", 6).alias("score"))
+
+
+V2_SQL = f"""
+WITH {_extracted_sql()}
+SELECT conv_id, turn, round({q.punish(_sql_v2('qtr', 'atr'))}, 6) AS score FROM xpairs
+"""
+
+
+@register("dialogue_extracted_v2", "J7 A8 F6", V2_SQL)
+def dialogue_extracted_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = scoring.score_pairs(extracted_pairs(spark, sf_dir), mode="v2")
+    return df.select("conv_id", "turn", F.round("score", 6).alias("score"))
+
+
+V3_SQL = f"""
+WITH {_extracted_sql(fallback=False)}
+SELECT conv_id, turn, round({q.punish(
+    f"CASE WHEN len(qtr) = 0 OR len(atr) = 0 THEN {q.t1(q.words('q'), q.words('a'), tag='raw')} ELSE {_sql_v2('qtr', 'atr')} END")}, 6) AS score
+FROM xpairs
+"""
+
+
+@register("dialogue_extracted_v3", "A9 F5 F22", V3_SQL)
+def dialogue_extracted_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = extracted_pairs(spark, sf_dir, fallback=False)
+    df = df.withColumn("q_words", tagging_words("q")).withColumn("a_words", tagging_words("a"))
+    df = scoring.score_pairs(df, mode="v3", q_words="q_words", a_words="a_words")
+    return df.select("conv_id", "turn", F.round("score", 6).alias("score"))
+
+
+def tagging_words(col: str):
+    from triplematch.functions.text import whitespace_words
+
+    return whitespace_words(F.col(col))
+
+
+GATED_SQL = f"""
+WITH {_extracted_sql()}
+SELECT conv_id, turn, round(CASE WHEN len(atr[1]) > 3 THEN 0.0 ELSE {q.punish(_sql_v1('qtr', 'atr'))} END, 6) AS score
+FROM xpairs
+"""
+
+
+@register("dialogue_gated", "P6 A20", GATED_SQL)
+def dialogue_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = scoring.score_pairs(extracted_pairs(spark, sf_dir), mode="v1", gate="long")
+    return df.select("conv_id", "turn", F.round("score", 6).alias("score"))
+
+
+HIST_SQL = f"""
+WITH {_extracted_sql()},
+s AS (SELECT {q.punish(_sql_v1('qtr', 'atr'))} AS score FROM xpairs),
+b AS (SELECT CASE WHEN score < 0 THEN -1 ELSE CAST(trunc(score * 10) AS INTEGER) END AS bucket FROM s WHERE score IS NOT NULL),
+g AS (SELECT range::INTEGER AS bucket FROM range(-1, 11)),
+c AS (SELECT g.bucket, count(b.bucket) AS n FROM g LEFT JOIN b USING (bucket) GROUP BY g.bucket)
+SELECT bucket, n, round(n / (SELECT count(*) FROM b), 6) AS ratio FROM c WHERE bucket >= 0 OR n > 0
+"""
+
+
+@register("score_histogram", "A10 S18 K2", HIST_SQL)
+def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = scoring.score_pairs(extracted_pairs(spark, sf_dir), mode="v1")
+    return scoring.score_histogram(df)
+
+
+SUMMARY_SQL = f"""
+WITH {_extracted_sql()},
+s AS (
+  SELECT 'v1' AS system, {q.punish(_sql_v1('qtr', 'atr'))} AS score, len(qtr[1]) > 3 OR len(atr[1]) > 3 AS fb FROM xpairs
+  UNION ALL
+  SELECT 'v2', {q.punish(_sql_v2('qtr', 'atr'))}, len(qtr[1]) > 3 OR len(atr[1]) > 3 FROM xpairs)
+SELECT system, count(*) AS n_pairs, count(score) AS n_scored,
+       sum(CASE WHEN score >= 0.6 THEN 1 ELSE 0 END) AS n_high,
+       round(sum(CASE WHEN score >= 0.6 THEN 1 ELSE 0 END) / count(score), 6) AS high_rate,
+       round(sum(score), 6) AS score_sum, round(avg(score), 6) AS score_mean,
+       sum(CASE WHEN fb THEN 1 ELSE 0 END) AS n_fallback
+FROM s GROUP BY system
+"""
+
+
+@register("score_summary", "A11 A20", SUMMARY_SQL)
+def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = extracted_pairs(spark, sf_dir)
+    fb = (F.col("q_triples_is_fallback") | F.col("a_triples_is_fallback")).alias("fallback")
+    v1 = scoring.score_pairs(pairs, mode="v1").select(F.lit("v1").alias("system"), "score", fb)
+    v2 = scoring.score_pairs(pairs, mode="v2").select(F.lit("v2").alias("system"), "score", fb)
+    return scoring.score_summary(v1.unionByName(v2), by=["system"], fallback="fallback")
