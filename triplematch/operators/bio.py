@@ -137,7 +137,7 @@ def read_conll_blocks(spark: SparkSession, path: str) -> DataFrame:
         F.get(F.transform("r", lambda x: F.get(x, 2).cast("int")), 0).alias("pred_idx"),
         F.transform("r", lambda x: F.get(x, 0).cast("int")).alias("word_idx"),
     )
-    pred_word = F.element_at(F.filter(F.arrays_zip("word_idx", "words"), lambda t: t["word_idx"] == F.col("pred_idx")), -1)["words"]
+    pred_word = F.try_element_at(F.filter(F.arrays_zip("word_idx", "words"), lambda t: t["word_idx"] == F.col("pred_idx")), F.lit(-1))["words"]
     return b.select("block_id", F.array_join("words", " ").alias("sent"), "words", "labels", "probs", "pred_idx",
                     pred_word.alias("pred"))
 

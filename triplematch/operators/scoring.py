@@ -138,7 +138,7 @@ def score_pairs(df: DataFrame, q: str = "q_triples", a: str = "a_triples", mode:
     if gate == "empty":
         s = F.when(F.forall(F.flatten(F.col(a)), lambda e: e == ""), F.lit(-1.0)).otherwise(s)
     elif gate == "long":
-        s = F.when(F.size(F.element_at(F.col(a), 1)) > 3, F.lit(0.0)).otherwise(s)
+        s = F.when(F.coalesce(F.size(F.try_element_at(F.col(a), F.lit(1))), F.lit(0)) > 3, F.lit(0.0)).otherwise(s)
     elif gate is not None:
         raise ValueError(f"unknown gate {gate!r}")
     return df.withColumn(out, s)
