@@ -25,46 +25,39 @@ def decode_bio(words: ColumnOrName, labels: ColumnOrName, probs: ColumnOrName, l
 
     Legacy: every maximal run of labels starting with ``A`` is one argument (a new ``-B`` or a role
     change does not split it), and a run that reaches the last token is not emitted, although its
-    probabilities still count. ``legacy=False`` splits on ``-B`` and on role changes and flushes the
-    final run. The confidence is the mean probability of all ``A`` tokens (NULL when there is none).
-    """
-    toks = F.arrays_zip(_c(words).alias("w"), _c(labels).alias("l"), _c(probs).alias("p"))
-    empty_words = F.array().cast("array<string>")
-    init = F.struct(
-        empty_words.alias("cur"),
-        F.array().cast("array<string>").alias("args"),
-        F.lit(0.0).alias("psum"),
-        F.lit(0).alias("n"),
-        F.lit("").alias("prev"),
-    )
+    probabilities still count. ``legacy=False`` also splits on ``-B`` and on role changes and keeps
+    the final run. The confidence is the mean probability of all ``A`` tokens (NULL when none).
 
-    def step(acc: Column, t: Column) -> Column:
-        is_arg = t["l"].startswith("A")
-        flush = F.concat(acc["args"], F.array(F.array_join(acc["cur"], " ")))
+    Runs are found as index arrays (run starts, run ends) with ``filter`` and paired with
+    ``zip_with``: linear in the block length, no per-token accumulator.
+    """
+    def body(s: Column) -> Column:
+        w, lab, pr = s["w"], s["l"], s["p"]
+        n = F.size(lab)
+
+        def is_a(i: Column) -> Column:
+            return F.element_at(lab, i).startswith("A")
+
+        def splits_at(i: Column) -> Column:
+            """True when token i (1-based, i >= 2, both i-1 and i are A) opens a new argument."""
+            if legacy:
+                return F.lit(False)
+            cur, prev = F.element_at(lab, i), F.element_at(lab, i - 1)
+            return cur.endswith("-B") | (F.split(cur, "-")[0] != F.split(prev, "-")[0])
+
+        idx = F.sequence(F.lit(1), n)
+        starts = F.filter(idx, lambda i: is_a(i) & F.when(i == 1, F.lit(True)).otherwise(~is_a(i - 1) | splits_at(i)))
+        ends = F.filter(idx, lambda i: is_a(i) & F.when(i == n, F.lit(True)).otherwise(~is_a(i + 1) | splits_at(i + 1)))
+        spans = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         if legacy:
-            starts_new = F.lit(False)
-        else:
-            starts_new = is_arg & (F.size(acc["cur"]) > 0) & (
-                t["l"].endswith("-B") | (_role(t["l"]) != _role(acc["prev"])))
-        cur = F.when(is_arg & starts_new, F.array(t["w"])) \
-               .when(is_arg, F.concat(acc["cur"], F.array(t["w"]))) \
-               .otherwise(empty_words)
-        args = F.when((~is_arg | starts_new) & (F.size(acc["cur"]) > 0), flush).otherwise(acc["args"])
-        return F.struct(
-            cur.alias("cur"),
-            args.alias("args"),
-            (acc["psum"] + F.when(is_arg, t["p"]).otherwise(0.0)).alias("psum"),
-            (acc["n"] + F.when(is_arg, 1).otherwise(0)).alias("n"),
-            t["l"].alias("prev"),
-        )
-
-    def finish(acc: Column) -> Column:
-        args = acc["args"] if legacy else F.when(
-            F.size(acc["cur"]) > 0, F.concat(acc["args"], F.array(F.array_join(acc["cur"], " ")))
-        ).otherwise(acc["args"])
-        return F.struct(args.alias("args"), (acc["psum"] / F.when(acc["n"] > 0, acc["n"])).alias("confidence"))
-
-    return F.aggregate(toks, init, step, finish)
+            spans = F.filter(spans, lambda sp: sp["b"] < n)
+        args = F.transform(spans, lambda sp: F.array_join(F.slice(w, sp["a"], sp["b"] - sp["a"] + 1), " "))
+        a_probs = F.filter(pr, lambda x, i: F.element_at(lab, i + 1).startswith("A"))
+        conf = let(a_probs, lambda ap: F.aggregate(ap, F.lit(0.0), lambda acc, x: acc + x)
+                   / F.when(F.size(ap) > 0, F.size(ap)))
+        return F.struct(args.alias("args"), conf.alias("confidence"))
+
+    return let(F.struct(_c(words).alias("w"), _c(labels).alias("l"), _c(probs).alias("p")), body)
 
 
 def decode_blocks(blocks: DataFrame, legacy: bool = True, words: str = "words", labels: str = "labels",
