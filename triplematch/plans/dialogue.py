@@ -209,3 +209,64 @@ def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     v1 = scoring.score_pairs(pairs, mode="v1").select(F.lit("v1").alias("system"), "score", fb)
     v2 = scoring.score_pairs(pairs, mode="v2").select(F.lit("v2").alias("system"), "score", fb)
     return scoring.score_summary(v1.unionByName(v2), by=["system"], fallback="fallback")
+
+
+# ---------------------------------------------------------------- word vectors (embeddings table)
+
+
+def conversation_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triplematch.functions.text import lower_words
+    from triplematch.operators import vectors
+
+    words = table(spark, sf_dir, "conversations").select(F.explode(lower_words("text")).alias("word"))
+    vocab = vectors.vocabulary(words)
+    return vectors.vectors_from_embeddings(vocab, table(spark, sf_dir, "embeddings"))
+
+
+def _vectors_sql() -> str:
+    uv = "list_transform(embedding, lambda e_: CAST(e_ AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda z_: CAST(z_ AS DOUBLE) * CAST(z_ AS DOUBLE)))))"
+    low = "list_filter(string_split_regex(lower(text), '\\s+'), lambda w_: w_ <> '')"
+    fold = lambda c: f"translate({c}, '{q.ACCENTED}', '{q.STAND_INS}')"
+    return f"""
+    vw AS (SELECT DISTINCT unnest({low}) AS word FROM conversations),
+    vocab AS (SELECT word, row_number() OVER (ORDER BY word) AS word_index FROM vw),
+    vv AS (SELECT v.word, {uv} AS u FROM vocab v JOIN embeddings e ON e.vec_id + 1 = v.word_index),
+    pp AS (
+      SELECT qc.conv_id, qc.turn, {low.replace('text', 'qc.text')} AS qw, {low.replace('text', 'ac.text')} AS aw
+      FROM conversations qc JOIN conversations ac ON ac.conv_id = qc.conv_id AND ac.turn = qc.turn + 1
+      WHERE qc.role = 'user' AND ac.role = 'assistant'),
+    qx AS (SELECT conv_id, turn, unnest(qw) AS w, generate_subscripts(qw, 1) AS i, len(qw) AS nq, len(aw) AS na FROM pp),
+    ax AS (SELECT conv_id, turn, unnest(aw) AS w, generate_subscripts(aw, 1) AS j FROM pp),
+    m AS (
+      SELECT qx.conv_id, qx.turn, qx.i, ax.j, qx.nq, qx.na,
+        CASE WHEN u1.u IS NOT NULL AND u2.u IS NOT NULL THEN list_dot_product(u1.u, u2.u)
+             ELSE {q.sim(fold('qx.w'), fold('ax.w'))} END AS s
+      FROM qx JOIN ax USING (conv_id, turn)
+      LEFT JOIN vv u1 ON u1.word = qx.w LEFT JOIN vv u2 ON u2.word = ax.w),
+    rowm AS (SELECT conv_id, turn, i, max(s) AS v, any_value(least(nq, na)) AS k FROM m GROUP BY ALL),
+    colm AS (SELECT conv_id, turn, j, greatest(0.0, max(s)) AS v, any_value(least(nq, na)) AS k FROM m GROUP BY ALL),
+    la AS (SELECT conv_id, turn, avg(v) AS la FROM (
+             SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY v DESC) AS r FROM rowm) WHERE r <= k GROUP BY ALL),
+    lb AS (SELECT conv_id, turn, avg(v) AS lb FROM (
+             SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY v DESC) AS r FROM colm) WHERE r <= k GROUP BY ALL)"""
+
+
+VECTORS_SQL = f"""
+WITH {_vectors_sql()}
+SELECT pp.conv_id, pp.turn, round({q.punish('(la.la + lb.lb) / 2.0')}, 6) AS score
+FROM pp LEFT JOIN la USING (conv_id, turn) LEFT JOIN lb USING (conv_id, turn)
+"""
+
+
+@register("dialogue_vectors", "S16 J4 J14 F4 H6 W1 T1 A7", VECTORS_SQL)
+def dialogue_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triplematch.functions.similarity import punish
+    from triplematch.functions.text import lower_words
+    from triplematch.operators import vectors
+
+    pairs = scoring.pair_turns(table(spark, sf_dir, "conversations"))
+    pairs = pairs.select("conv_id", "turn", lower_words("q").alias("qw"), lower_words("a").alias("aw"))
+    tok = vectors.attach_vectors(pairs, ["conv_id", "turn"], ["qw", "aw"], conversation_vectors(spark, sf_dir))
+    tok = scoring.spread_for_scoring(tok, "conv_id", "turn")
+    s = punish(vectors.soft_align_vectors("qw_tok", "aw_tok"))
+    return tok.select("conv_id", "turn", F.round(s, 6).alias("score"))
