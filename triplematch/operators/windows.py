@@ -14,23 +14,28 @@ def with_line_numbers(df: DataFrame, col: str = "line_no") -> DataFrame:
     return df.sparkSession.createDataFrame(rdd, schema)
 
 
-def forward_fill(df: DataFrame, order: str, value: str, out: str, block: int = 1 << 20) -> DataFrame:
+def forward_fill(df: DataFrame, order: str, value: str, out: str, block: int = 1 << 20,
+                 partition: list[str] | None = None) -> DataFrame:
     """Carry the last non-NULL ``value`` (in ``order``) forward onto every row, as ``out``.
 
     Two levels instead of one global window: rows are cut into blocks of ``block`` consecutive
     order values; each block fills itself in parallel, and the value that enters each block comes
     from a running max over the per-block last values -- a table of (#rows / block) rows.
     """
-    b = (F.col(order) / F.lit(block)).cast("long")
+    part = list(partition or [])
+    b = F.floor(F.col(order) / F.lit(block)).cast("long")
     d = df.withColumn("_blk", b)
-    w_in = Window.partitionBy("_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w_in = Window.partitionBy(*part, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_local", F.last(F.col(value), ignorenulls=True).over(w_in))
     # one row per block: its last non-NULL value (NULL when it has none)
-    per_blk = d.groupBy("_blk").agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order))).alias("_v"))
-    # the value entering each block: last non-NULL over the earlier blocks (a #blocks-row window)
-    w_blk = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    entering = per_blk.select("_blk", F.last("_v", ignorenulls=True).over(w_blk).alias("_carry"))
-    res = d.join(F.broadcast(entering), "_blk", "left").withColumn(out, F.coalesce(F.col("_local"), F.col("_carry")))
+    per_blk = d.groupBy(*part, "_blk").agg(
+        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order))).alias("_v"))
+    # the value entering each block: last non-NULL over the earlier blocks (#blocks rows per key)
+    w_blk = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    entering = per_blk.select(*part, "_blk", F.last("_v", ignorenulls=True).over(w_blk).alias("_carry"))
+    if not part:
+        entering = F.broadcast(entering)  # (#rows / block) rows
+    res = d.join(entering, [*part, "_blk"], "left").withColumn(out, F.coalesce(F.col("_local"), F.col("_carry")))
     return res.drop("_blk", "_local", "_carry")
 
 
