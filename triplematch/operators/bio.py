@@ -51,11 +51,13 @@ def decode_bio(words: ColumnOrName, labels: ColumnOrName, probs: ColumnOrName, l
         spans = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         if legacy:
             spans = F.filter(spans, lambda sp: sp["b"] < n)
-        args = F.transform(spans, lambda sp: F.array_join(F.slice(w, sp["a"], sp["b"] - sp["a"] + 1), " "))
         a_probs = F.filter(pr, lambda x, i: F.element_at(lab, i + 1).startswith("A"))
         conf = let(a_probs, lambda ap: F.aggregate(ap, F.lit(0.0), lambda acc, x: acc + x)
                    / F.when(F.size(ap) > 0, F.size(ap)))
-        return F.struct(args.alias("args"), conf.alias("confidence"))
+        return let(spans, lambda sp: F.struct(
+            F.transform(sp, lambda x: F.array_join(F.slice(w, x["a"], x["b"] - x["a"] + 1), " ")).alias("args"),
+            conf.alias("confidence"),
+            F.transform(sp, lambda x: F.sequence(x["a"] - 1, x["b"] - 1)).alias("arg_indices")))
 
     return let(F.struct(_c(words).alias("w"), _c(labels).alias("l"), _c(probs).alias("p")), body)
 
@@ -68,6 +70,7 @@ def decode_blocks(blocks: DataFrame, legacy: bool = True, words: str = "words",
                  .withColumn("pred", F.element_at(F.col(words), F.col(pred_idx) + 1))
                  .withColumn("args", F.col("_dec.args"))
                  .withColumn("confidence", F.col("_dec.confidence"))
+                 .withColumn("arg_indices", F.col("_dec.arg_indices"))
                  .drop("_dec"))
     return out.filter(F.size("args") > 0)
 

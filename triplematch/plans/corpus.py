@@ -98,3 +98,34 @@ def corpus_union(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("benchmark").alias("source"), F.col("tid").alias("text_id"), "sent_no", "pred_idx", "pred")
     # ids of the second corpus continue after the largest id of the first
     return corpus.union_corpora(docs, bench, ["text_id"])
+
+
+TRAINING_SQL = f"""
+WITH {bio_plan._decode_sql(0)},
+r AS (SELECT tid, sent_no, pred_idx, start_i, end_i,
+             row_number() OVER (PARTITION BY tid, sent_no, pred_idx ORDER BY start_i) AS k
+      FROM runs WHERE end_i < n - 1),
+el AS (SELECT tid, sent_no, pred_idx, 0 AS k, pred_idx AS lo, pred_idx AS hi FROM ex
+       UNION ALL SELECT tid, sent_no, pred_idx, k, start_i, end_i FROM r),
+t AS (SELECT b.tid, b.sent_no, b.pred_idx, i FROM blocks b JOIN ex USING (tid, sent_no, pred_idx),
+        LATERAL (SELECT unnest(range(len(b.words))) AS i)),
+best AS (SELECT t.tid, t.sent_no, t.pred_idx, t.i, arg_min(struct_pack(k := el.k, lo := el.lo), struct_pack(l := el.hi - el.lo, k := el.k)) AS e
+         FROM t LEFT JOIN el ON el.tid = t.tid AND el.sent_no = t.sent_no AND el.pred_idx = t.pred_idx AND t.i BETWEEN el.lo AND el.hi
+         GROUP BY ALL),
+lab AS (SELECT tid, sent_no, pred_idx, i,
+          CASE WHEN e.k IS NULL THEN 'O' ELSE (CASE WHEN e.k = 0 THEN 'P' ELSE 'A' || (e.k - 1) END) ||
+               (CASE WHEN e.lo = i THEN '-B' ELSE '-I' END) END AS label FROM best)
+SELECT tid AS doc_id, sent_no, pred_idx, string_agg(label, ' ' ORDER BY i) AS labels FROM lab GROUP BY ALL
+"""
+
+
+@register("training_conll", "E11 K5 W1 F26", TRAINING_SQL)
+def training_conll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E11 over decoded extractions: the predicate position and the argument spans the decoder
+    found are the elements; every token is labelled from the shortest element containing it."""
+    from triplematch.operators import construct as C
+
+    ex = _ex(spark, sf_dir)
+    elements = F.concat(F.array(F.array(F.col("pred_idx"))), F.col("arg_indices"))
+    labels = C.bio_labels(F.size("words"), elements)
+    return ex.select(F.col("tid").alias("doc_id"), "sent_no", "pred_idx", F.array_join(labels, " ").alias("labels"))
