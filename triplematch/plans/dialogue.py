@@ -270,3 +270,38 @@ def dialogue_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = scoring.spread_for_scoring(tok, "conv_id", "turn")
     s = punish(vectors.soft_align_vectors("qw_tok", "aw_tok"))
     return tok.select("conv_id", "turn", F.round(s, 6).alias("score"))
+
+
+# ---------------------------------------------------------------- triple files (K1 -> S15)
+
+TRIPLE_FILE_SQL = f"""
+WITH {_extracted_sql()},
+lines AS (
+  SELECT conv_id, turn, q || chr(9) || array_to_string(list_transform(qtr, lambda t_: array_to_string(t_, '|||')), '*#*') AS line
+  FROM xpairs),
+parsed AS (
+  SELECT conv_id, turn, line,
+         list_transform(string_split(trim(split_part(line, chr(9), 2)), '*#*'), lambda s_: string_split(s_, '|||')) AS keep
+  FROM lines)
+SELECT conv_id, turn, md5(line) AS line_md5,
+       len(keep) AS n_triples,
+       len(list_filter(keep, lambda t_: len(list_filter(t_, lambda e_: e_ <> '')) > 3)) AS n_long,
+       list_sum(list_transform(keep, lambda t_: len(list_filter(t_, lambda e_: e_ = '')))) AS n_empty
+FROM parsed
+"""
+
+
+@register("triple_file", "K1 S15 A20 P3", TRIPLE_FILE_SQL)
+def triple_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 lines for the question side (text + extracted or fallback triples), parsed back by S15."""
+    from triplematch.sources import readers, sinks
+
+    pairs = extracted_pairs(spark, sf_dir)
+    lines = pairs.select("conv_id", "turn", F.concat_ws("\t", "q", sinks.triples_text("q_triples")).alias("line"))
+    raw = F.coalesce(F.get(F.split("line", "\t"), 1), F.lit(""))
+    keep = readers.cut_triples(raw, "keep_empty")
+    dropped = readers.cut_triples(raw, "drop_empty")
+    return lines.select(
+        "conv_id", "turn", F.md5("line").alias("line_md5"), F.size(keep).alias("n_triples"),
+        F.size(F.filter(dropped, lambda t: F.size(t) > 3)).alias("n_long"),
+        F.aggregate(keep, F.lit(0).cast("bigint"), lambda acc, t: acc + F.size(F.filter(t, lambda e: e == ""))).alias("n_empty"))
