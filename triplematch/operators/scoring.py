@@ -90,15 +90,26 @@ def score_v1(q_triples: ColumnOrName, a_triples: ColumnOrName, apply_punish: boo
 
 
 def _score_elements(e1: Column, e2: Column) -> Column:
-    """Best match per question element, keep the top min(n1, n2), mean."""
-    def body(s: Column) -> Column:
-        best = F.transform(s["e1"], lambda x: let(lower_words(F.array_join(x, " ")), lambda w1: _strict_max(
-            F.transform(s["e2"], lambda y: soft_align(w1, lower_words(F.array_join(y, " ")))))))
-        k = F.least(F.size(s["e1"]), F.size(s["e2"]))
-        return let(best, lambda b: F.when(F.exists(b, lambda x: x.isNull()), F.lit(None).cast("double"))
-                   .otherwise(_mean(F.slice(F.sort_array(b, asc=False), 1, k))))
+    """Best match per question element, keep the top min(n1, n2), mean.
+
+    Elements repeat (a fallback triple is one element per word), so the best match is computed
+    once per distinct question element against the distinct answer elements, and the top-k mean
+    is taken over (value, multiplicity) pairs: the same value as over the full lists.
+    """
+    from triplematch.functions.similarity import _distinct_counts, _topk_mean
 
-    return F.when((F.size(e1) > 0) & (F.size(e2) > 0), let(F.struct(e1.alias("e1"), e2.alias("e2")), body))
+    def body(s: Column) -> Column:
+        d1, d2 = s["d1"], s["d2"]
+        best = F.transform(d1, lambda x: let(lower_words(F.array_join(x["t"], " ")), lambda w1: F.struct(
+            _strict_max(F.transform(d2, lambda y: soft_align(w1, lower_words(F.array_join(y, " "))))).alias("v"),
+            x["c"].alias("c"))))
+        k = F.least(s["n1"], s["n2"])
+        return let(best, lambda bs: F.when(F.exists(bs, lambda x: x["v"].isNull()), F.lit(None).cast("double"))
+                   .otherwise(_topk_mean(bs, k)))
+
+    bound = F.struct(F.size(e1).alias("n1"), F.size(e2).alias("n2"), _distinct_counts(e1).alias("d1"),
+                     F.array_distinct(e2).alias("d2"))
+    return F.when((F.size(e1) > 0) & (F.size(e2) > 0), let(bound, body))
 
 
 def score_v2(q_triples: ColumnOrName, a_triples: ColumnOrName, apply_punish: bool = True) -> Column:
