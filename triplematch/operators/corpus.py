@@ -9,34 +9,35 @@ from triplematch.functions.text import escape_tabs
 
 
 def corpus_stats(ex: DataFrame, sent: str = "sent", pred: str = "pred", args: str = "args") -> DataFrame:
-    """A12 + A13 in one aggregation (map-side partial sums).
+    """A12 + A13 as one chain of aggregations over the extractions (read once).
 
-    ``avg_arg_chars`` is what the reference reports as "words / argument" (it measures string
-    length); ``avg_arg_words`` is the true word count. ``avg_prop_len`` keeps the reference's mix of
-    predicate words plus argument characters.
+    Partial sums per (sentence, predicate), then per sentence, then one global row -- each level
+    much smaller than the last, with map-side partial aggregation. ``avg_arg_chars`` is what the
+    reference reports as "words / argument" (it measures string length); ``avg_arg_words`` is the
+    true word count; ``avg_prop_len`` keeps the reference's mix of predicate words and argument
+    characters.
     """
     pred_words = F.size(F.split(F.col(pred), " "))
     arg_chars = F.aggregate(F.col(args), F.lit(0).cast("long"), lambda acc, a: acc + F.length(a))
     arg_words = F.aggregate(F.col(args), F.lit(0).cast("long"), lambda acc, a: acc + F.size(F.split(a, " ")))
-    per = ex.select(sent, pred, F.size(args).alias("n_args"), arg_chars.alias("arg_chars"),
-                    arg_words.alias("arg_words"), pred_words.alias("pred_words"))
-    per_sent = ex.groupBy(sent).agg(F.count(F.lit(1)).alias("rows"))
-    per_pair = ex.groupBy(sent, pred).agg(F.count(F.lit(1)).alias("rows"))
-    main = per.agg(
-        F.count(F.lit(1)).alias("n_extractions"),
-        F.round(F.avg("n_args"), 6).alias("avg_args"),
+    per_pair = ex.groupBy(sent, pred).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.size(args)).alias("n_args"), F.sum(arg_chars).alias("arg_chars"),
+        F.sum(arg_words).alias("arg_words"), F.sum(pred_words).alias("pred_words"))
+    per_sent = per_pair.groupBy(sent).agg(
+        F.sum("rows").alias("rows"), F.sum("n_args").alias("n_args"), F.sum("arg_chars").alias("arg_chars"),
+        F.sum("arg_words").alias("arg_words"), F.sum("pred_words").alias("pred_words"),
+        F.sum(F.when(F.col("rows") > 1, F.col("rows") - 1).otherwise(0)).alias("repeated"))
+    n = F.sum("rows")
+    return per_sent.agg(
+        n.alias("n_extractions"),
+        F.round(F.sum("n_args") / n, 6).alias("avg_args"),
         F.round(F.sum("arg_chars") / F.sum("n_args"), 6).alias("avg_arg_chars"),
         F.round(F.sum("arg_words") / F.sum("n_args"), 6).alias("avg_arg_words"),
-        F.round(F.avg("pred_words"), 6).alias("avg_pred_words"),
-        F.round(F.avg(F.col("pred_words") + F.col("arg_chars")), 6).alias("avg_prop_len"),
-    )
-    # one-row aggregates are attached through scalar subqueries
-    return main.select(
-        "*",
-        per_sent.select(F.count(F.lit(1))).scalar().alias("n_sentences"),
-        per_sent.select(F.max("rows")).scalar().alias("max_per_sentence"),
-        per_pair.select(F.sum(F.when(F.col("rows") > 1, F.col("rows") - 1).otherwise(0))).scalar()
-        .alias("repeated_sent_pred"),
+        F.round(F.sum("pred_words") / n, 6).alias("avg_pred_words"),
+        F.round((F.sum("pred_words") + F.sum("arg_chars")) / n, 6).alias("avg_prop_len"),
+        F.count(F.lit(1)).alias("n_sentences"),
+        F.max("rows").alias("max_per_sentence"),
+        F.sum("repeated").alias("repeated_sent_pred"),
     )
 
 
