@@ -127,9 +127,18 @@ def arcs_to_sentences(arcs: DataFrame, text: str = "text_id", sent: str = "sent_
 
 def extract(sentences: DataFrame, text: str = "text_id", sent: str = "sent_no", offsets: Column | None = None,
             spaced_relation: bool = True) -> DataFrame:
-    """X1-X7 for sentence rows: one output row per triple, plus ``valid`` rows counted separately."""
-    off = offsets if offsets is not None else sentence_offsets(sentences, text, sent, "n_words")
-    s = sentences.withColumn("n_words", F.size("words")).withColumn("offset", off)
-    t = s.withColumn("_t", arcs_triples("words", "heads", "rels", "offset", spaced_relation))
-    out = t.filter(F.col("_t").isNotNull()).select(text, sent, F.explode("_t").alias("x"))
-    return out.select(text, sent, "x.rel_pos", "x.item", "x.triple", "x.e1_loc", "x.e2_loc")
+    """X1-X7 for sentence rows: one output row per triple.
+
+    The rules run on each sentence row where it was read (offset 0), before the only shuffle, which
+    is the W6 prefix sum of sentence lengths per text; the global offset is added afterwards to the
+    subject location and to the first object's location (later objects keep 0).
+    """
+    t = sentences.withColumn("n_words", F.size("words")).withColumn(
+        "_t", arcs_triples("words", "heads", "rels", None, spaced_relation)).drop("words", "heads", "rels")
+    off = offsets if offsets is not None else sentence_offsets(t, text, sent, "n_words")
+    t = t.withColumn("offset", off)
+    out = t.filter(F.col("_t").isNotNull()).select(text, sent, "offset", F.explode("_t").alias("x"))
+    return out.select(text, sent, "x.rel_pos", "x.item", "x.triple",
+                      (F.col("x.e1_loc") + F.col("offset")).alias("e1_loc"),
+                      F.when(F.col("x.item") == 0, F.col("x.e2_loc") + F.col("offset")).otherwise(F.col("x.e2_loc"))
+                      .alias("e2_loc"))
