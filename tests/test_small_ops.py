@@ -1,0 +1,54 @@
+"""Small operators: head words, replay, runs, offsets, argument text, head predicate, K5 rows."""
+
+import re
+
+from pyspark.sql import functions as F
+
+from triplematch.operators import bio, construct as C, dependency as dep, tagger
+
+
+def test_head_words_and_replay(spark):
+    r = spark.createDataFrame([(["a", "b", "c"], [2, 0, 2])], "w array<string>, h array<int>").select(
+        dep.head_words("w", "h").alias("x")).first().x
+    assert r == ["b", "ROOT", "b"]
+    sents = spark.createDataFrame([("a b",), ("c",)], "sent string")
+    stored = spark.createDataFrame([("a b", [("b", ["O", "P-B"])])],
+                                   "sent string, preds array<struct<pred:string,labels:array<string>>>")
+    got = {r.sent: [p.pred for p in r.preds] for r in bio.replay_predictions(sents, stored).collect()}
+    assert got == {"a b": ["b"], "c": []}
+
+
+def test_sentences_by_run(spark):
+    toks = spark.createDataFrame([(1, 2, "z", "O"), (1, 0, "x", "A0-B"), (1, 1, "y", "P-B"), (2, 0, "q", "O")],
+                                 "run_id int, word_id int, word string, label string")
+    got = {r.run_id: (r.word, r.label) for r in bio.sentences_by_run(toks).collect()}
+    assert got[1] == (["x", "y", "z"], ["A0-B", "P-B", "O"]) and got[2] == (["q"], ["O"])
+
+
+def test_all_index_matches_regex(spark):
+    cases = [("a b ab ab", "ab"), ("aaaa", "aa"), ("x.y.x.y", "x.y"), ("Abc abC", "abc"), ("none", "zz")]
+    df = spark.createDataFrame(cases, "s string, ss string")
+    got = [r.x for r in df.select(C.all_index("s", "ss").alias("x")).collect()]
+    want = [[m.start() for m in re.finditer(re.escape(b.replace(" ", "")), a.replace(" ", ""))] for a, b in cases]
+    assert got == want
+    folded = df.select(C.all_index("s", "ss", match_case=False).alias("x")).collect()[3].x
+    assert folded == [0, 3]
+
+
+def test_argument_text_and_repeat(spark):
+    r = spark.createDataFrame([(["the", "big\tdog"], [3, 4], [["p1"], ["p2"]])],
+                              "w array<string>, i array<int>, p array<array<string>>").select(
+        C.argument_text("w", "i").alias("t"), C.repeat_predictions("p", 2).alias("r")).first()
+    assert r.t == "(the big\\tdog\t[3, 4])"
+    assert r.r == [["p1"], ["p2"], ["p1"], ["p2"]]
+
+
+def test_head_predicate_and_training_rows(spark):
+    df = spark.createDataFrame([(["x", "ran", "fast"], -1, "ran fast"), (["x", "ran", "fast"], 1, "ran")],
+                               "w array<string>, h int, p string")
+    assert [r.x for r in df.select(tagger.head_predicate_word("w", "h", "p").alias("x")).collect()] == ["ran", "ran"]
+    ex = spark.createDataFrame([("x ran fast", "ran", [1], 1, ["O", "P-B", "A0-B"], 0)],
+                               "sent string, pred string, pred_indices array<int>, head_pred_index int, labels array<string>, ord long")
+    rows = C.training_conll_rows(ex).orderBy("word_id").collect()
+    assert [(r.word_id, r.word, r.label, r.run_id, r.sent_id) for r in rows] == [
+        (0, "x", "O", 0, 0), (1, "ran", "P-B", 0, 0), (2, "fast", "A0-B", 0, 0)]

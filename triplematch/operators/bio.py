@@ -193,3 +193,19 @@ def argmax_label(probs: ColumnOrName, classes: list[str]) -> Column:
     best = F.array_max(F.transform(_c(probs), lambda p, i: F.struct(p.alias("p"), (-i).alias("ni"))))
     return F.struct(F.element_at(F.array(*[F.lit(c) for c in classes]), 1 - best["ni"]).alias("label"),
                     best["p"].alias("prob"))
+
+
+def replay_predictions(sentences: DataFrame, stored: DataFrame, sent: str = "sent", preds: str = "preds") -> DataFrame:
+    """Attach stored ``(pred, labels)`` lists to sentences by their space-joined text; a
+    sentence without stored predictions gets an empty list (left join on the sentence text)."""
+    out = sentences.join(stored.select(sent, preds), sent, "left")
+    empty = F.array().cast(stored.schema[preds].dataType)
+    return out.withColumn(preds, F.coalesce(F.col(preds), empty))
+
+
+def sentences_by_run(tokens: DataFrame, run: str = "run_id", order: str = "word_id") -> DataFrame:
+    """Token rows regrouped into one row per ``run_id``, tokens in ``word_id`` order
+    (one aggregation keyed by the run; a run is one sentence)."""
+    cols = [c for c in tokens.columns if c not in (run,)]
+    g = tokens.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in cols if c != order]))).alias("t"))
+    return g.select(run, *[F.col(f"t.{c}").alias(c) for c in cols])

@@ -142,3 +142,9 @@ def extract(sentences: DataFrame, text: str = "text_id", sent: str = "sent_no",
                       (F.col("x.e1_loc") + F.col("offset")).alias("e1_loc"),
                       F.when(F.col("x.item") == 0, F.col("x.e2_loc") + F.col("offset")).otherwise(F.col("x.e2_loc"))
                       .alias("e2_loc"))
+
+
+def head_words(words: ColumnOrName, heads: ColumnOrName, root: str = "ROOT") -> Column:
+    """Each token's syntactic head word (1-based heads, 0 = root), inside the sentence row."""
+    return let(_c(words), lambda w: F.transform(_c(heads), lambda h: F.when(h == 0, F.lit(root))
+                                                .otherwise(F.try_element_at(w, h))))
