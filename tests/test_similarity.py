@@ -85,3 +85,15 @@ def test_repeated_words_match_full_matrix(spark):
     got = [r.s for r in df.select(soft_align("a", "b").alias("s")).collect()]
     for (a, b), g in zip(cases, got):
         assert g == pytest.approx(brute(a, b), abs=1e-9)
+
+
+def test_streamed_path_equals_matrix_path(spark, monkeypatch):
+    """Forcing the no-matrix path gives the same T1 values."""
+    from triplematch.functions import similarity
+
+    cases = [(["the", "cat", "sat", "the"], ["a", "cat", "mat", "sat", "sat"]), (["x"], ["xy", "x", "z"])]
+    df = spark.createDataFrame(cases, "a array<string>, b array<string>")
+    full = [r.s for r in df.select(similarity.soft_align("a", "b").alias("s")).collect()]
+    monkeypatch.setattr(similarity, "MATRIX_LIMIT", 0)
+    streamed = [r.s for r in df.select(similarity.soft_align("a", "b").alias("s")).collect()]
+    assert streamed == full
