@@ -32,3 +32,19 @@ def test_curve_file_round_trip(spark, tmp_path):
                   key=lambda t: (t[1], t[2]))
     assert got == [(p, r) for p, r, _ in want]
     assert got[0] == (1.0, 0.0) and got[-1][1] == 1.0
+
+
+def test_training_conll_round_trip(spark, tmp_path):
+    from triplematch.operators import construct as C
+
+    ex = spark.createDataFrame([("NA ran fast", "ran", [1], 1, ["A0-B", "P-B", "O"], 0),
+                                ("dogs bark", "bark", [1], 1, ["A0-B", "P-B"], 1)],
+                               "sent string, pred string, pred_indices array<int>, head_pred_index int, "
+                               "labels array<string>, ord long")
+    rows = C.training_conll_rows(ex)
+    out = str(tmp_path / "train")
+    sinks.write_training_conll(rows, out)
+    back = readers.read_training_conll(spark, out)
+    a = sorted(tuple(r) for r in rows.select(*sinks.TRAINING_COLUMNS).collect())
+    b = sorted(tuple(r) for r in back.select(*sinks.TRAINING_COLUMNS).collect())
+    assert a == b and ("NA" in [r.word for r in back.collect()])

@@ -61,3 +61,14 @@ def auc_lines(aucs: DataFrame, system: str = "system") -> DataFrame:
 def write_text(lines: DataFrame, path: str, order: list | None = None) -> None:
     d = lines.orderBy(*order) if order else lines
     d.select("value").write.mode("overwrite").text(path)
+
+
+TRAINING_COLUMNS = ["word_id", "word", "pred", "pred_id", "head_pred_id", "sent_id", "run_id", "label"]
+
+
+def write_training_conll(rows: DataFrame, path: str) -> None:
+    """K5: tab-separated training CoNLL with a header, rows in (run, word) order; no quoting and no
+    null marker, so words such as "NA" stay words when read back."""
+    (rows.select(*TRAINING_COLUMNS).orderBy("run_id", "word_id").coalesce(1)
+         .write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "")
+         .option("escape", "").csv(path))
