@@ -40,7 +40,7 @@ def forward_fill_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Carry each user's latest 'view' event onto the following events (by time), like the current
     sentence of a ClausIE file. Blocks of one hour keep a very active user spread over many tasks."""
     ev = table(spark, sf_dir, "events").select(
-        "event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
+        "event_id", "user_id", F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.col("ts")).alias("t"),
         F.when(F.col("event_type") == "view", F.col("event_id")).alias("view_id"))
     out = forward_fill(ev, "t", "view_id", "last_view", block=3600 * 1_000_000, partition=["user_id"])
     return out.select("event_id", "user_id", "last_view")
