@@ -43,7 +43,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     unset (local tests) a fresh scratch folder is created, so checkpoint() works in tests too.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session: the server side owns the checkpoint folder
+        return conf_dir or ""
     if conf_dir:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(conf_dir)
@@ -76,8 +79,12 @@ def spread_small_input(df: DataFrame, key: str) -> DataFrame:
     group is read by one task. The split count is known at planning time (no job runs). A large
     input already has enough splits and is returned unchanged, so no shuffle is added at scale.
     """
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        sc = df.sparkSession.sparkContext
+        target = sc.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a remote session): leave the plan as it is
+        return df
+    if splits >= target:
         return df
     return df.repartition(target, key)
