@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplematch.functions.text import let
 from triplematch.operators import dependency as dep
 from triplematch.plans import tagging
 from triplematch.plans.registry import register
