@@ -81,3 +81,23 @@ def test_question_distribution_and_vectors(spark, tmp_path):
     vec = readers.read_word_vectors(spark, _write(tmp_path, "v.txt", "cat 0.5 1.0\ndog 1 0\n"))
     assert [(r.word, r.word_index, list(r.vec)) for r in vec.orderBy("word_index").collect()] == [
         ("cat", 1, [0.5, 1.0]), ("dog", 2, [1.0, 0.0])]
+
+
+def test_pairs_range_and_validity(spark, tmp_path):
+    path = _write(tmp_path, "pairs.txt", " q0 \t a0 \nno tab here\nq2\ta2\textra\nq3\ta3\n")
+    learned = [(r.pair_id, r.q, r.a) for r in readers.read_pairs(spark, path).orderBy("pair_id").collect()]
+    assert learned == [(0, "q0", "a0"), (2, "q2", "a2"), (3, "q3", "a3")]
+    rule = [r.pair_id for r in readers.read_pairs(spark, path, exact=True).collect()]
+    assert sorted(rule) == [0, 3]
+    sliced = [r.pair_id for r in readers.read_pairs(spark, path, begin=1, end=3).collect()]
+    assert sliced == [2]
+
+
+def test_score_and_auc_lines(spark):
+    from triplematch.sources import sinks
+
+    df = spark.createDataFrame([(0.5, [["a", "b"]], [["c"]])], "score double, q array<array<string>>, a array<array<string>>")
+    assert sinks.score_lines(df).first().value == "0.5"
+    assert sinks.score_lines(df, q="q", a="a").first().value == "0.5\ta|||b\tc"
+    aucs = spark.createDataFrame([("sysA", 0.25)], "system string, auc double")
+    assert sinks.auc_lines(aucs).first().value == "sysA\t0.25"
