@@ -97,3 +97,17 @@ def test_streamed_path_equals_matrix_path(spark, monkeypatch):
     monkeypatch.setattr(similarity, "MATRIX_LIMIT", 0)
     streamed = [r.s for r in df.select(similarity.soft_align("a", "b").alias("s")).collect()]
     assert streamed == full
+
+
+def test_empty_gate_and_invalid_bucket(spark):
+    from triplematch.operators import scoring
+
+    df = spark.createDataFrame([(0, [["like", "i"]], [["", ""]]), (1, [["like", "i"]], [["like", "i"]]),
+                                (2, [["go"]], [["went"]])],
+                               "pair_id int, q_triples array<array<string>>, a_triples array<array<string>>")
+    s = scoring.score_pairs(df, gate="empty")
+    got = {r.pair_id: r.score for r in s.collect()}
+    assert got[0] == -1.0 and round(got[1], 6) == 0.85989
+    hist = {r.bucket: (r.n, r.ratio) for r in scoring.score_histogram(s).collect()}
+    assert hist[-1] == (1, round(1 / 3, 6)) and sum(n for n, _ in hist.values()) == 3
+    assert set(hist) == set(range(-1, 11))
