@@ -26,7 +26,8 @@ def test_sentences_by_run(spark):
 
 
 def test_all_index_matches_regex(spark):
-    cases = [("a b ab ab", "ab"), ("aaaa", "aa"), ("x.y.x.y", "x.y"), ("Abc abC", "abc"), ("none", "zz")]
+    cases = [("a b ab ab", "ab"), ("aaaa", "aa"), ("x.y.x.y", "x.y"), ("Abc abC", "abc"), ("none", "zz"),
+             ("p\\Eq p\\Eq", "\\Eq")]
     df = spark.createDataFrame(cases, "s string, ss string")
     got = [r.x for r in df.select(C.all_index("s", "ss").alias("x")).collect()]
     want = [[m.start() for m in re.finditer(re.escape(b.replace(" ", "")), a.replace(" ", ""))] for a, b in cases]
