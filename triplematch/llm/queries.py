@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplematch.llm import exact_dedup, licenses, mixing
+from triplematch.llm import exact_dedup, licenses, mixing, packing
 from triplematch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,8 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op1_exact_dedup"] = exact_dedup.ORACLE
 ORACLES["op7_license_scan"] = licenses.oracle()
 ORACLES["op8_source_mixing"] = mixing.oracle()
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
