@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplematch.llm import exact_dedup, licenses, mixing, packing
-from triplematch.llm.common import documents
+from triplematch.llm import exact_dedup, language_id, licenses, mixing, packing, quality
+from triplematch.llm.common import crc_mod, documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,18 @@ ORACLES["op8_source_mixing"] = mixing.oracle()
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = crc_mod("doc_id", 3) == 1
+    model = language_id.train(docs, ~held)
+    return language_id.predict(docs, model).withColumn("held_out", held)
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = crc_mod("doc_id", 5) == 0
+    labels = table(spark, sf_dir, "labels")
+    return quality.classify(documents(spark, sf_dir), labels, ~held).withColumn("held_out", held)
