@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplematch.llm import exact_dedup, language_id, licenses, mixing, packing, quality
+from triplematch.llm import exact_dedup, language_id, licenses, mixing, packing, quality, toxicity
 from triplematch.llm.common import crc_mod, documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = crc_mod("doc_id", 5) == 0
     labels = table(spark, sf_dir, "labels")
     return quality.classify(documents(spark, sf_dir), labels, ~held).withColumn("held_out", held)
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = crc_mod("doc_id", 3) == 1
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held)
+    return toxicity.score(docs, model).withColumn("held_out", held)
