@@ -100,7 +100,7 @@ def entries(words: set[str]) -> set[str]:
     return out
 
 
-def fit(texts: list[str], labels: list[int], min_odds: float = 3.0) -> Model:
+def fit(texts: list[str], labels: list[int], min_odds: float = 2.0) -> Model:
     """Chooses entries and weights, then calibrates.
 
     An entry's weight is the smoothed log odds of its document frequencies in the two classes; those below
