@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplematch.llm import exact_dedup, language_id, licenses, mixing, packing, quality, toxicity
+from triplematch.llm import exact_dedup, language_id, licenses, mixing, packing, quality, topk, toxicity
 from triplematch.llm.common import crc_mod, documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = crc_mod("doc_id", 3) == 1
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held)
     return toxicity.score(docs, model).withColumn("held_out", held)
+
+
+@query
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op4_exact_topk"] = topk.ORACLE
