@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplematch.llm import exact_dedup, language_id, licenses, mixing, packing, quality, topk, toxicity
+from triplematch.llm import exact_dedup, jaccard_join, language_id, licenses, mixing, packing, quality, topk, toxicity
 from triplematch.llm.common import crc_mod, documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_exact_topk"] = topk.ORACLE
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, sf_dir), words=3, percent=90)
