@@ -45,7 +45,7 @@ def decode_bio(words: ColumnOrName, labels: ColumnOrName, probs: ColumnOrName, l
             cur, prev = F.element_at(lab, i), F.element_at(lab, i - 1)
             return cur.endswith("-B") | (F.split(cur, "-")[0] != F.split(prev, "-")[0])
 
-        idx = F.sequence(F.lit(1), n)
+        idx = F.transform(lab, lambda x, i: i + 1)  # empty for an empty block
         starts = F.filter(idx, lambda i: is_a(i) & F.when(i == 1, F.lit(True)).otherwise(~is_a(i - 1) | splits_at(i)))
         ends = F.filter(idx, lambda i: is_a(i) & F.when(i == n, F.lit(True)).otherwise(~is_a(i + 1) | splits_at(i + 1)))
         spans = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
@@ -65,14 +65,15 @@ def decode_bio(words: ColumnOrName, labels: ColumnOrName, probs: ColumnOrName, l
 def decode_blocks(blocks: DataFrame, legacy: bool = True, words: str = "words", labels: str = "labels",
                   probs: str = "probs", pred_idx: str = "pred_idx") -> DataFrame:
     """E1/E2 for a DataFrame of blocks: adds ``pred``, ``args``, ``confidence``; keeps blocks with >= 1 argument."""
-    dec = decode_bio(words, labels, probs, legacy)
-    out = (blocks.withColumn("_dec", dec)
+    # emitted by a generator: a filter on the projection would be pushed below it and decode twice
+    dec = F.filter(F.array(decode_bio(words, labels, probs, legacy)), lambda d: F.size(d["args"]) > 0)
+    out = (blocks.withColumn("_dec", F.explode(dec))
                  .withColumn("pred", F.element_at(F.col(words), F.col(pred_idx) + 1))
                  .withColumn("args", F.col("_dec.args"))
                  .withColumn("confidence", F.col("_dec.confidence"))
                  .withColumn("arg_indices", F.col("_dec.arg_indices"))
                  .drop("_dec"))
-    return out.filter(F.size("args") > 0)
+    return out
 
 
 def last_block_per_predicate_word(words: ColumnOrName, candidates: ColumnOrName) -> Column:
@@ -115,16 +116,14 @@ def write_conll(blocks: DataFrame, path: str, order: list[str]) -> None:
 def read_conll_blocks(spark: SparkSession, path: str) -> DataFrame:
     """S9 + W4: read a prediction CoNLL file as blocks.
 
-    Records are split on blank lines by the text source itself (``lineSep='\\n\\n'``), so blocks
-    never straddle partitions; ``block_id`` is increasing in file order (an order key, not dense).
+    Records are runs of non-blank lines (either line ending); ``block_id`` increases in (file name,
+    position) order, so it is an order key over a folder of part files too (not dense).
     Returns ``block_id, sent, words, labels, probs, pred_idx, pred``.
     """
-    raw = spark.read.option("lineSep", "\n\n").text(path)
-    recs = raw.select(F.monotonically_increasing_id().alias("block_id"),
-                      F.regexp_replace(F.col("value"), r"^\n+|\n+$", "").alias("value"))
-    recs = recs.filter(F.col("value") != "")
-    rows = F.transform(F.split(F.col("value"), "\n"), lambda ln: F.split(ln, "\t"))
-    b = recs.select("block_id", rows.alias("r"))
+    from triplematch.sources.readers import read_records
+
+    rows = F.transform("lines", lambda ln: F.split(ln, "\t"))
+    b = read_records(spark, path).select("block_id", rows.alias("r"))
     b = b.select(
         "block_id",
         F.transform("r", lambda x: F.get(x, 1)).alias("words"),

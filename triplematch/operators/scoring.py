@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from triplematch.functions import fixed
 from triplematch.functions.similarity import punish, soft_align
 from triplematch.functions.text import _c, let, lower_words, pseudo_triples, triple_words, whitespace_words
+from triplematch.operators.windows import next_order
 
 ColumnOrName = Column | str
 
@@ -26,21 +27,23 @@ ColumnOrName = Column | str
 
 def pair_turns(conversations: DataFrame, q_role: str | None = "user", a_role: str | None = "assistant",
                key: str = "conv_id", order: str = "turn", carry: list[str] | None = None) -> DataFrame:
-    """Each turn paired with the next turn of the same conversation.
+    """Each turn paired with the next turn of the same conversation, whatever its number.
 
-    Turns are numbered densely from 0, so "next" is ``turn + 1`` and the pairing is an equi-join on
-    the unique ``(conv_id, turn)`` key. Roles filter both sides before the join (pushed to the scan).
+    The number of the next turn comes from a narrow pass over ``(conv_id, turn)``
+    (:func:`next_order`); the texts are then paired by an equi-join on that key. Roles filter both
+    text sides before the join (pushed to the scan).
     """
     carry = carry or []
+    following = next_order(conversations, key, order, "_next")
     q = conversations.select(F.col(key), F.col(order), F.col("role").alias("q_role"), F.col("text").alias("q"),
                              *[F.col(c).alias(f"q_{c}") for c in carry])
-    a = conversations.select(F.col(key), (F.col(order) - 1).alias(order), F.col("role").alias("a_role"),
+    a = conversations.select(F.col(key), F.col(order).alias("_next"), F.col("role").alias("a_role"),
                              F.col("text").alias("a"), *[F.col(c).alias(f"a_{c}") for c in carry])
     if q_role is not None:
         q = q.filter(F.col("q_role") == q_role)
     if a_role is not None:
         a = a.filter(F.col("a_role") == a_role)
-    pairs = q.join(a, [key, order], "inner")
+    pairs = q.join(following.filter(F.col("_next").isNotNull()), [key, order]).join(a, [key, "_next"]).drop("_next")
     return spread_for_scoring(pairs, key, order)
 
 
@@ -178,7 +181,8 @@ def score_histogram(scores: DataFrame, score: str = "score", by: list[str] | Non
     s = F.col(score)
     bucket = F.when(s < 0, F.lit(-1)).otherwise((s * 10).cast("int"))
     counts = F.array(*[F.sum(F.when(bucket == b, 1).otherwise(0)) for b in range(-1, 11)])
-    agg = scores.filter(s.isNotNull()).groupBy(*by).agg(counts.alias("counts"), F.count(F.lit(1)).alias("total"))
+    # no filter on the score: it would be pushed below the scoring expression and evaluate it twice
+    agg = scores.groupBy(*by).agg(counts.alias("counts"), F.count(s).alias("total")).filter("total > 0")
     out = agg.select(*by, F.posexplode("counts").alias("i", "n"), "total")
     return (out.select(*by, (F.col("i") - 1).alias("bucket"), F.col("n").cast("long").alias("n"),
                        F.round(F.col("n") / F.col("total"), 6).alias("ratio"))

@@ -1,36 +1,78 @@
-"""Running ids and forward fill over a global line order (W1, W5, W6) without single-partition windows."""
+"""Running ids, next rows and forward fill over a global order (W1, W5, W6, W7), without single-partition windows.
+
+Positions always come from keys in the data (file name and block start, the order column, a splitter range), never
+from the physical partition a row happens to sit in, so they are the same however a plan is evaluated.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+BLOCK = 1 << 20
+SPLITTERS = 1000  # ranges of a numbering over a sortable key; only their balance depends on it
+
+
+def _offsets(counts: DataFrame, order: list[str], n: str) -> DataFrame:
+    """Exclusive running sum over a table of one row per block, range or file split (small)."""
+    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_off", F.coalesce(F.sum(n).over(w), F.lit(0)))
+
+
+def read_numbered(spark: SparkSession, path: str | list[str], col: str = "line_no") -> DataFrame:
+    """W1 for text: ``value`` and its dense 0-based line number in (file name, position) order.
+
+    A file split is read by one task from start to end, so a line's position in its split is a running id less the
+    smallest running id of the split. The lines of the splits before it, in order of file name and start byte, are
+    added from a table of one row per split. That table is broadcast: the driver holds the same rows when it plans
+    the scan. The lines themselves are not shuffled.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"),
+                                       F.col("_metadata.file_block_start").alias("_start"))
+    lines = raw.withColumn("_id", F.monotonically_increasing_id())
+    splits = lines.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    splits = _offsets(splits, ["_file", "_start"], "_n").drop("_n")
+    return lines.join(F.broadcast(splits), ["_file", "_start"]).select(
+        "value", (F.col("_off") + F.col("_id") - F.col("_first")).cast("long").alias(col))
+
 
-def with_line_numbers(df: DataFrame, col: str = "line_no") -> DataFrame:
-    """A dense 0-based number in the DataFrame's current order, computed in the JVM.
+def number_by(df: DataFrame, order: str, col: str, block: int = BLOCK) -> DataFrame:
+    """W1 over an integer order column: a dense 0-based number in ``order``.
 
-    ``monotonically_increasing_id`` holds the partition index in its upper bits and the row's
-    position inside the partition in the lower 33 bits; the dense number is the count of all rows in
-    earlier partitions plus that position. The per-partition counts form a table with one row per
-    partition (broadcast); the data itself is neither shuffled nor sent through Python.
+    Blocks of ``block`` consecutive order values are numbered in parallel; the rows of the blocks before come from
+    a table of one row per block.
     """
-    d = df.withColumn("_mid", F.monotonically_increasing_id())
-    d = d.withColumn("_pid", F.shiftright("_mid", 33))
-    counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select("_pid", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    pos = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    return (d.join(F.broadcast(offs), "_pid").withColumn(col, (F.col("_off") + pos).cast("long"))
-             .drop("_mid", "_pid", "_off"))
+    d = df.withColumn("_blk", F.floor(F.col(order) / F.lit(block)).cast("long"))
+    offs = _offsets(d.groupBy("_blk").agg(F.count(F.lit(1)).alias("_n")), ["_blk"], "_n").drop("_n")
+    pos = F.row_number().over(Window.partitionBy("_blk").orderBy(order))
+    return (d.withColumn("_pos", pos).join(offs, "_blk")
+             .withColumn(col, (F.col("_off") + F.col("_pos") - 1).cast("long")).drop("_blk", "_pos", "_off"))
+
 
+def number_sorted(df: DataFrame, order: str, col: str, splitters: int = SPLITTERS) -> DataFrame:
+    """W1 over any sortable, non-NULL column (e.g. words): a dense 0-based number in its order.
+
+    At most ``splitters`` values, picked by hash, cut the key space into ranges; each range is numbered in parallel
+    and offset by the rows of the ranges before it. The numbers do not depend on which values were picked.
+    """
+    picked = [r[0] for r in df.select(order).orderBy(F.xxhash64(order), order).limit(splitters).collect()]
+    cuts = F.array(*[F.lit(x) for x in sorted(set(picked))]) if picked else F.array().cast(
+        f"array<{df.schema[order].dataType.simpleString()}>")
+    d = df.withColumn("_blk", F.size(F.filter(cuts, lambda x: x <= F.col(order))))
+    offs = _offsets(d.groupBy("_blk").agg(F.count(F.lit(1)).alias("_n")), ["_blk"], "_n").drop("_n")
+    pos = F.row_number().over(Window.partitionBy("_blk").orderBy(order))
+    return (d.withColumn("_pos", pos).join(offs, "_blk")
+             .withColumn(col, (F.col("_off") + F.col("_pos") - 1).cast("long")).drop("_blk", "_pos", "_off"))
 
-def forward_fill(df: DataFrame, order: str, value: str, out: str, block: int = 1 << 20,
+
+def forward_fill(df: DataFrame, order: str, value: str, out: str, block: int = BLOCK,
                  partition: list[str] | None = None) -> DataFrame:
     """Carry the last non-NULL ``value`` (in ``order``) forward onto every row, as ``out``.
 
     Two levels instead of one global window: rows are cut into blocks of ``block`` consecutive
     order values; each block fills itself in parallel, and the value that enters each block comes
-    from a running max over the per-block last values -- a table of (#rows / block) rows.
+    from a running max over the per-block last values -- a table of (#rows / block) rows, joined on
+    the key by which the blocks are partitioned already.
     """
     part = list(partition or [])
     b = F.floor(F.col(order) / F.lit(block)).cast("long")
@@ -43,14 +85,20 @@ def forward_fill(df: DataFrame, order: str, value: str, out: str, block: int = 1
     # the value entering each block: last non-NULL over the earlier blocks (#blocks rows per key)
     w_blk = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     entering = per_blk.select(*part, "_blk", F.last("_v", ignorenulls=True).over(w_blk).alias("_carry"))
-    if not part:
-        entering = F.broadcast(entering)  # (#rows / block) rows
     res = d.join(entering, [*part, "_blk"], "left").withColumn(out, F.coalesce(F.col("_local"), F.col("_carry")))
     return res.drop("_blk", "_local", "_carry")
 
 
-def running_offset(df: DataFrame, partition: list[str], order: str, size: Column | str) -> Column:
-    """Sum of ``size`` over the rows before this one within the partition (exclusive prefix sum)."""
-    w = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    s = F.col(size) if isinstance(size, str) else size
-    return F.coalesce(F.sum(s).over(w), F.lit(0))
+def next_order(df: DataFrame, key: str, order: str, out: str, block: int = 4096) -> DataFrame:
+    """The ``order`` value of the next row of the same ``key`` (NULL for the last row), gaps allowed.
+
+    Within blocks of ``block`` order values by ``lead``; the last row of a block takes the first value of the next
+    block that has rows, from a table of one row per (key, block). A key that holds a third of all rows is many
+    blocks, so no task gets it whole.
+    """
+    d = df.select(key, order).withColumn("_blk", F.floor(F.col(order) / F.lit(block)).cast("long"))
+    inner = F.lead(order).over(Window.partitionBy(key, "_blk").orderBy(order))
+    first = d.groupBy(key, "_blk").agg(F.min(order).alias("_first"))
+    after = first.select(key, "_blk", F.lead("_first").over(Window.partitionBy(key).orderBy("_blk")).alias("_after"))
+    return d.withColumn("_next", inner).join(after, [key, "_blk"]).select(
+        key, order, F.coalesce("_next", "_after").alias(out))

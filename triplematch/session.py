@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in this package relies on. AQE coalesces the small shuffles of the
 # evaluation jobs and splits skewed join partitions; the broadcast threshold is left at
-# Spark's default because every explicit broadcast in the package is size-checked first.
+# Spark's default. Explicit broadcasts hold tables of fixed or bounded size only.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -39,8 +39,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster the folder is configured by the operator and only read here. Only when it is
-    unset (local tests) a fresh scratch folder is created, so checkpoint() works in tests too.
+    On a cluster the folder is configured by the operator and only read here; without one this
+    raises, as a machine-local folder would not survive a lost executor. Only a local master (tests)
+    gets a fresh scratch folder, so checkpoint() works there too.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -54,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local_dir = tempfile.mkdtemp(prefix="triplematch-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local_dir)
     sc.setCheckpointDir(local_dir)

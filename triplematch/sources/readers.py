@@ -11,12 +11,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplematch.functions import fixed
-from triplematch.operators.windows import forward_fill, with_line_numbers
+from triplematch.operators.windows import forward_fill, number_by, read_numbered
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, value`` for one text file, numbered densely in file order."""
-    return with_line_numbers(spark.read.text(path), "line_no")
+    """``line_no, value`` of a text file or a folder of them, numbered densely in (file name, position) order."""
+    return read_numbered(spark, path, "line_no")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """``block_id, lines``: runs of non-blank lines, separated by blank ones; ``block_id`` ascends in file order.
+
+    The line reader handles both line endings. A record's id is the number of the last blank line before it,
+    carried forward over the numbered lines; one aggregation gathers its lines, in order.
+    """
+    d = read_lines(spark, path).withColumn("_blank", F.trim(F.col("value")) == "")
+    d = forward_fill(d.withColumn("_edge", F.when(F.col("_blank"), F.col("line_no"))), "line_no", "_edge", "_rec")
+    g = d.filter(~F.col("_blank")).groupBy(F.coalesce("_rec", F.lit(-1)).alias("block_id")).agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("l"))
+    return g.select("block_id", F.col("l.value").alias("lines"))
 
 
 def _fields(value: str = "value") -> Column:
@@ -43,7 +56,7 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
 def read_tabbed(spark: SparkSession, path: str) -> DataFrame:
     """``sent \\t prob \\t pred \\t arg ...``; blank lines skipped; index counts non-blank lines."""
     d = read_lines(spark, path).filter(F.trim(F.col("value")) != "")
-    d = with_line_numbers(d.select("line_no", "value").orderBy("line_no"), "ex_index").withColumn("f", _fields())
+    d = number_by(d, "line_no", "ex_index").withColumn("f", _fields())
     return _extractions(d, F.col("f")[0], F.get(F.col("f"), 2), F.slice("f", 4, F.greatest(F.size("f") - 3, F.lit(0))),
                         F.get(F.col("f"), 1), F.col("ex_index"))
 
@@ -122,7 +135,7 @@ def min_max_confidence(df: DataFrame, by: list[str] | None = None, eps: float =
     c = F.col("confidence")
     if by:
         mm = df.groupBy(*by).agg(F.min(c).alias("_mn"), F.max(c).alias("_mx"))
-        d = df.join(F.broadcast(mm), by, "left")
+        d = df.join(mm, by, "left")
         mn, mx = F.col("_mn"), F.col("_mx")
         return d.withColumn("confidence", ((c - mn) + eps) / (mx - mn + 2 * eps)).drop("_mn", "_mx")
     mn = df.select(F.min(c)).scalar()
