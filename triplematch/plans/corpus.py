@@ -34,7 +34,7 @@ FROM per
 """
 
 
-@register("corpus_stats", "A12 A13 K10", STATS_SQL)
+@register("corpus_stats", "A12 A13", STATS_SQL)
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.corpus_stats(_ex(spark, sf_dir))
 
@@ -45,7 +45,7 @@ SELECT DISTINCT sent FROM sents
 """
 
 
-@register("distinct_sentences", "U1 K7 S14", DISTINCT_SQL)
+@register("distinct_sentences", "U1", DISTINCT_SQL)
 def distinct_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     sents = tagging.sentences(table(spark, sf_dir, "documents", spread_on="doc_id"), "doc_id")
     return corpus.distinct_sentences(sents)
@@ -60,7 +60,7 @@ WHERE b.sent IN (SELECT trim(sent) FROM bsent)
 """
 
 
-@register("corpus_split", "J9 K11", SPLIT_SQL)
+@register("corpus_split", "J9", SPLIT_SQL)
 def corpus_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench_sents = tagging.sentences(table(spark, sf_dir, "benchmark"), "item_id")
     kept = corpus.split_to_corpus(_ex(spark, sf_dir), bench_sents)
@@ -90,7 +90,7 @@ SELECT * FROM d UNION ALL SELECT * FROM bb
 """
 
 
-@register("corpus_union", "U2 W1", UNION_SQL)
+@register("corpus_union", "U2", UNION_SQL)
 def corpus_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _ex(spark, sf_dir).select(F.lit("documents").alias("source"), F.col("tid").alias("text_id"),
                                      "sent_no", "pred_idx", "pred")
@@ -119,7 +119,7 @@ SELECT tid AS doc_id, sent_no, pred_idx, string_agg(label, ' ' ORDER BY i) AS la
 """
 
 
-@register("training_conll", "E11 K5 W1 F26", TRAINING_SQL)
+@register("training_conll", "E11 W1", TRAINING_SQL)
 def training_conll(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E11 over decoded extractions: the predicate position and the argument spans the decoder
     found are the elements; every token is labelled from the shortest element containing it."""

@@ -53,7 +53,7 @@ SELECT conv_id, turn, round({q.punish(q.t1('qw', 'aw'))}, 6) AS score FROM w
 """
 
 
-@register("dialogue_score", "W7 P3 S13 J1 J5 J6 T1 F3 F5 F6 A7", DIALOGUE_SCORE_SQL)
+@register("dialogue_score", "W7 P3 S13 J5 J6 T1 F3 F5 F6 A7", DIALOGUE_SCORE_SQL)
 def dialogue_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = dialogue_scores(spark, sf_dir, "v1")
     return df.select("conv_id", "turn", F.round("score", 6).alias("score"))
@@ -181,7 +181,7 @@ SELECT bucket, n, round(n / (SELECT count(*) FROM b), 6) AS ratio FROM c WHERE b
 """
 
 
-@register("score_histogram", "A10 S18 K2", HIST_SQL)
+@register("score_histogram", "A10", HIST_SQL)
 def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scoring.score_pairs(extracted_pairs(spark, sf_dir), mode="v1")
     return scoring.score_histogram(df)
@@ -258,7 +258,7 @@ FROM pp LEFT JOIN la USING (conv_id, turn) LEFT JOIN lb USING (conv_id, turn)
 """
 
 
-@register("dialogue_vectors", "S16 J4 J14 F4 H6 W1 T1 A7", VECTORS_SQL)
+@register("dialogue_vectors", "J4 J14 F4 H6 W1 T1 A7", VECTORS_SQL)
 def dialogue_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from triplematch.functions.similarity import punish
     from triplematch.functions.text import lower_words

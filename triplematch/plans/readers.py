@@ -35,7 +35,7 @@ FROM events
 """
 
 
-@register("forward_fill", "W5 S6 S12", FFILL_SQL)
+@register("forward_fill", "W5", FFILL_SQL)
 def forward_fill_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Carry each user's latest 'view' event onto the following events (by time), like the current
     sentence of a ClausIE file. Blocks of one hour keep a very active user spread over many tasks."""
