@@ -49,16 +49,38 @@ def number_by(df: DataFrame, order: str, col: str, block: int = BLOCK) -> DataFr
              .withColumn(col, (F.col("_off") + F.col("_pos") - 1).cast("long")).drop("_blk", "_pos", "_off"))
 
 
+def range_column(df: DataFrame, key: str, splitters: int = SPLITTERS) -> Column:
+    """The number of the range that ``key`` falls into: at most ``splitters`` values of it, picked by hash, cut the
+    key space. Equal keys share a range, ranges ascend with the key. One small job picks the values."""
+    picked = [r[0] for r in df.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(splitters).collect()]
+    cuts = F.array(*[F.lit(x) for x in sorted(set(picked))]) if picked else F.array().cast(
+        f"array<{df.schema[key].dataType.simpleString()}>")
+    return F.size(F.filter(cuts, lambda x: x <= F.col(key)))
+
+
+def running_sums(df: DataFrame, key: str, sums: dict[str, str], partition: list[str] | None = None) -> DataFrame:
+    """Sums of columns (``new name -> column``) over the rows of equal or greater ``key``, per partition.
+
+    Ranges of the key are summed up in parallel; the sums of the ranges above come from a table of one row per
+    range, so no task sees more than a range of the rows.
+    """
+    part = list(partition or [])
+    d = df.withColumn("_blk", range_column(df, key))
+    per = d.groupBy(*part, "_blk").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
+    above = Window.partitionBy(*part).orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*part, "_blk", *[F.coalesce(F.sum(f"_s_{n}").over(above), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    inside = Window.partitionBy(*part, "_blk").orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select("*", *[F.sum(c).over(inside).alias(f"_i_{n}") for n, c in sums.items()]).join(per, [*part, "_blk"])
+    return d.select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
+
+
 def number_sorted(df: DataFrame, order: str, col: str, splitters: int = SPLITTERS) -> DataFrame:
     """W1 over any sortable, non-NULL column (e.g. words): a dense 0-based number in its order.
 
     At most ``splitters`` values, picked by hash, cut the key space into ranges; each range is numbered in parallel
     and offset by the rows of the ranges before it. The numbers do not depend on which values were picked.
     """
-    picked = [r[0] for r in df.select(order).orderBy(F.xxhash64(order), order).limit(splitters).collect()]
-    cuts = F.array(*[F.lit(x) for x in sorted(set(picked))]) if picked else F.array().cast(
-        f"array<{df.schema[order].dataType.simpleString()}>")
-    d = df.withColumn("_blk", F.size(F.filter(cuts, lambda x: x <= F.col(order))))
+    d = df.withColumn("_blk", range_column(df, order, splitters))
     offs = _offsets(d.groupBy("_blk").agg(F.count(F.lit(1)).alias("_n")), ["_blk"], "_n").drop("_n")
     pos = F.row_number().over(Window.partitionBy("_blk").orderBy(order))
     return (d.withColumn("_pos", pos).join(offs, "_blk")
