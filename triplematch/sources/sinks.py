@@ -67,8 +67,8 @@ TRAINING_COLUMNS = ["word_id", "word", "pred", "pred_id", "head_pred_id", "sent_
 
 
 def write_training_conll(rows: DataFrame, path: str) -> None:
-    """K5: tab-separated training CoNLL with a header, rows in (run, word) order; no quoting and no
-    null marker, so words such as "NA" stay words when read back."""
-    (rows.select(*TRAINING_COLUMNS).orderBy("run_id", "word_id").coalesce(1)
+    """K5: tab-separated training CoNLL, rows in (run, word) order over part files in name order, each
+    with a header; no quoting and no null marker, so words such as "NA" stay words when read back."""
+    (rows.select(*TRAINING_COLUMNS).orderBy("run_id", "word_id")
          .write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "")
          .option("escape", "").csv(path))
