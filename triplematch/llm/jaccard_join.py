@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from triplematch.llm.common import cut, gram_hashes, id_text, maybe_member, member_bitmap, word_hashes
 
-SKETCH = 1 << 16     # counters of the shingle frequency sketch, a fixed size
+SKETCH_BITS = 20     # the shingle frequency sketch has 2^20 counters, a fixed size of 4 MB
+SKETCH = 1 << SKETCH_BITS
+BINS = 512           # cells of a set's histogram
 PARITY = 8           # longs of the parity bitmap of a set
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -25,6 +27,10 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(gram_hashes(w, min(words, len(w)))) if len(w) else w
 
 
+def _cell(g: np.ndarray) -> np.ndarray:
+    return (g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def frequency_classes(rows: DataFrame, words: int) -> np.ndarray:
     """A coarse frequency class for each of SKETCH cells of shingle hashes, counted over all documents.
 
@@ -33,26 +39,26 @@ def frequency_classes(rows: DataFrame, words: int) -> np.ndarray:
     Any order gives the same links, so cells shared by chance cost time, not results.
     """
     def blob(counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([counts.astype("<i8").tobytes()], pa.binary())], ["counts"])
+        return pa.RecordBatch.from_arrays([pa.array([counts.astype("<u4").tobytes()], pa.binary())], ["counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total += np.bincount((shingles(text, words) >> np.uint64(48)).astype(np.int64), minlength=SKETCH)
+                np.add.at(total, _cell(shingles(text, words)), 1)
         yield blob(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for raw in batch.column(0):
-                total += np.frombuffer(raw.as_buffer(), "<i8")
+                total += np.frombuffer(raw.as_buffer(), "<u4")
         yield blob(total)
 
     parts = rows.select("text").mapInArrow(count, "counts binary")
     parts = parts.repartition(16).mapInArrow(add, "counts binary").coalesce(1).mapInArrow(add, "counts binary")
     found = parts.collect()                                    # one array of SKETCH counters
-    counts = sum((np.frombuffer(r[0], "<i8") for r in found), np.zeros(SKETCH, np.int64))
+    counts = sum((np.frombuffer(r[0], "<u4") for r in found), np.zeros(SKETCH, np.int64))
     typical = max(1.0, float(np.median(counts)))
     return np.floor(2 * np.log2(np.maximum(counts / typical, 1))).astype(np.uint8)
 
@@ -72,7 +78,7 @@ def set_table(rows: DataFrame, words: int, percent: int, classes: np.ndarray) ->
                 n = len(g)
                 sizes.append(n)
                 digests.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest())
-                order = np.lexsort((g, classes[(g >> np.uint64(48)).astype(np.int64)]))
+                order = np.lexsort((g, classes[_cell(g)]))
                 tokens.append(g[order[:n + (-percent * n // 100) + 1 if n else 0]].view(np.int64))
                 odd = np.bincount((g & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
                 bits.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
@@ -109,9 +115,38 @@ def _renamed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFram
 
 def verify(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose whole texts reach the similarity. Only texts of documents in a pair are
-    shuffled: the others fall to a bitmap of fixed size in the scan."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    texts = maybe_member(rows, "doc_id", member_bitmap(ids, "id"), how="keep").select("doc_id", "text")
+    shuffled: the others fall to a bitmap of fixed size in the scan.
+
+    Before texts meet, pairs meet on histograms of their sets (BINS counts, 1 KB): the sum of the differences of
+    two histograms never exceeds the number of elements in which the sets differ. For long documents that is a
+    far sharper bound than the parities, and it spares them the shuffle of their texts.
+    """
+    def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            bins = [np.minimum(np.bincount((g & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 65535) for g in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(g) for g in sets], pa.int64()),
+                 pa.array([b.astype("<u2").tobytes() for b in bins], pa.binary())], ["id", "n", "bins"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                differ = np.abs(np.frombuffer(x, "<u2").astype(np.int64) - np.frombuffer(y, "<u2")).sum()
+                ok.append(bool((100 + percent) * differ <= (100 - percent) * (n + m)))
+            mask = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    def among(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+        return maybe_member(rows, "doc_id", member_bitmap(ids, "id"), how="keep").select("doc_id", "text")
+
+    shape = cut(among(pairs).mapInArrow(histograms, "id long, n long, bins binary"))
+    pairs = cut(pairs.join(shape.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bins").alias("ba")), "a")
+                .join(shape.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bb")), "b")
+                .select("a", "b", "na", "nb", "ba", "bb").mapInArrow(close, "a long, b long").distinct())
+    texts = among(pairs)
     both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
 
@@ -141,8 +176,8 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         heard = (edges.join(labels.select(F.col("id").alias("b"), "label"), "b")
                  .groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard")))
-        lower = cut(labels.join(heard, "id", "left").select(
-            "id", F.least("label", F.coalesce("heard", "label")).alias("label"), F.col("label").alias("old")))
+        lower = labels.join(heard, "id", "left").select(
+            "id", F.least("label", F.coalesce("heard", "label")).alias("label"), F.col("label").alias("old"))
         onward = lower.select(F.col("id").alias("label"), F.col("label").alias("further"))
         new = cut(lower.join(onward, "label", "left").select(
             "id", F.least("label", F.coalesce("further", "label")).alias("label"), "old"))
