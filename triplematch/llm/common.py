@@ -57,6 +57,13 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written as Parquet below the shared checkpoint folder and read again: smaller than a checkpoint."""
+    folder = shared_folder(df.sparkSession, what)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -9,79 +9,129 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplematch.llm.common import cut, gram_hashes, id_text, maybe_member, member_bitmap, word_hashes
+from triplematch.llm.common import id_text, maybe_member, member_bitmap, mix64, store, word_hashes
 
 
 
-def paths(words: np.ndarray, k: int, core: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The k-mer walk of one document, compacted: (first k-mer of each path, number of k-mers, its core, k-mers).
+_MUL = 0x9FB21C651E98DF25
+
+
+def _runs(words: np.ndarray, n: int) -> np.ndarray:
+    """Polynomial hashes (unmixed) of every run of n word hashes, by doubling: O(log n) passes."""
+    def join(left: np.ndarray, a: int, right: np.ndarray, b: int) -> np.ndarray:
+        count = max(0, min(len(left), len(right) - a))
+        return left[:count] * np.uint64(pow(_MUL, b, 1 << 64)) + right[a:a + count]
+
+    out, have, power, size = None, 0, words, 1
+    while size <= n:
+        if n & size:
+            out, have = (power, size) if out is None else (join(out, have, power, size), have + size)
+        power, size = join(power, size, power, size), 2 * size
+    return out
+
+
+def _window_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every ``width`` neighbours, by doubling."""
+    size = 1
+    while 2 * size <= width:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[:len(x) - (width - size)], x[width - size:]) if width > size else x
+
+
+def paths(words: np.ndarray, k: int, core: int) -> tuple[np.ndarray, ...]:
+    """The k-mer walk of one document, compacted: (first k-mer of each path, number of k-mers, its core, whether the
+    core's run occurs twice in the document, k-mers).
 
     A k-mer is an edge between its two (k-1)-mers. Its core is the smallest hash among its runs of ``core`` words.
-    Consecutive k-mers whose smallest run is the same occurrence form one path: equal k-mers have equal cores, so
-    every repeat of a path's k-mer lies in a path of the same core, whatever surrounds it.
+    Consecutive k-mers of one core form a path: equal k-mers have equal cores, so every repeat of a path's k-mer
+    lies in a path of the same core, whatever surrounds it. A path can hold a k-mer twice only if its core's run
+    occurs twice.
     """
-    kmers = gram_hashes(words, k)
-    if not len(kmers):
+    if len(words) < k:
         none = np.zeros(0, np.int64)
-        return none, none, kmers, kmers
-    runs = gram_hashes(words, core, seed=0x9FB21C651E98DF25)
-    view = np.lib.stride_tricks.sliding_window_view(runs, k - core + 1)
-    at = view.argmin(1) + np.arange(len(kmers))
-    start = np.flatnonzero(np.diff(at, prepend=-1))
-    return start, np.diff(start, append=len(kmers)), runs[at[start]], kmers
+        return none, none, none.view(np.uint64), none.astype(bool), none.view(np.uint64)
+    kmers = mix64(_runs(words, k))
+    runs = mix64(_runs(words, core) ^ np.uint64(0x2545F4914F6CDD1D))
+    least = _window_min(runs, k - core + 1)
+    start = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
+    runs = np.sort(runs)
+    again = runs[1:][runs[1:] == runs[:-1]]
+    twice = np.isin(least[start], again) if len(again) else np.zeros(len(start), bool)
+    return start, np.diff(start, append=len(kmers)), least[start], twice, kmers
 
 
-def _path_rows(rows: DataFrame, k: int, core: int, counted: bool) -> DataFrame:
-    """``counted``: (core, n) of distinct cores per batch, for counting; else the full path rows."""
-    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _walk(text: str, k: int, core: int) -> tuple[np.ndarray, ...]:
+    return paths(word_hashes(text.encode("utf-8", "replace")), k, core)
+
+
+def core_counts(rows: DataFrame, k: int, core: int) -> DataFrame:
+    """(core, n): counted per batch first, then map-side, then by a shuffle of two numbers per core and task. A core
+    whose run occurs twice in a document counts as two there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [paths(word_hashes(t.encode("utf-8", "replace")), k, core)[2] for t in batch.column(1).to_pylist()]
+            found = [np.concatenate((w[2], w[2][w[3]])) for w in (_walk(t, k, core) for t in batch.column(1).to_pylist())]
             u, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["core", "n"])
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return rows.mapInArrow(run, "core long, n long").groupBy("core").agg(F.sum("n").alias("n"))
+
+
+def path_rows(rows: DataFrame, k: int, core: int, with_kmers: bool = False) -> DataFrame:
+    """One row per path: doc_id, start, core, size, path (a 64-bit hash of its k-mers), twice (it may hold a k-mer
+    twice); or doc_id, start, core, kmers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                start, size, least, kmers = paths(word_hashes(text.encode("utf-8", "replace")), k, core)
-                if len(start):
+                start, size, least, twice, kmers = _walk(text, k, core)
+                if not len(start):
+                    continue
+                head = [pa.array(np.full(len(start), doc)), pa.array(start.astype(np.int32)), pa.array(least.view(np.int64))]
+                if with_kmers:
                     at = pa.array(np.append(start, len(kmers)).astype(np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(start), doc)), pa.array(start.astype(np.int64)),
-                         pa.array(least.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(kmers.view(np.int64)))],
-                        ["doc_id", "start", "core", "kmers"])
+                        [*head, pa.ListArray.from_arrays(at, pa.array(kmers.view(np.int64)))], ["doc_id", "start", "core", "kmers"])
+                    continue
+                place = np.arange(len(kmers)) - np.repeat(start, size)
+                path = mix64(np.add.reduceat(mix64(kmers ^ (place.astype(np.uint64) * np.uint64(_MUL))), start))
+                yield pa.RecordBatch.from_arrays(
+                    [*head, pa.array(size.astype(np.int32)), pa.array(path.view(np.int64)), pa.array(twice)],
+                    ["doc_id", "start", "core", "size", "path", "twice"])
 
-    if counted:
-        return rows.mapInArrow(cores, "core long, n long")
-    return rows.mapInArrow(full, "doc_id long, start long, core long, kmers array<long>")
+    schema = "doc_id long, start int, core long, "
+    return rows.mapInArrow(run, schema + ("kmers array<long>" if with_kmers else "size int, path long, twice boolean"))
 
 
 def repeated_kmers(rows: DataFrame, k: int, core: int) -> DataFrame:
-    """(doc_id, start, removed array<boolean>): per path that holds a k-mer which also starts earlier, which of its
-    k-mers do. Earlier: smaller doc_id, or the same document and a smaller position."""
-    seen = _path_rows(rows, k, core, counted=True).groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1")
-    walks = cut(maybe_member(_path_rows(rows, k, core, counted=False), "core", member_bitmap(seen, "core"), how="keep"))
+    """(doc_id, start, size, later): the paths that hold a k-mer which also starts earlier (smaller doc_id, or the
+    same document and a smaller position). ``later`` lists the places of those k-mers in the path, null: all."""
+    seen = core_counts(rows, k, core).filter("n > 1")
+    walks = store(maybe_member(path_rows(rows, k, core), "core", member_bitmap(seen, "core"), how="keep"), "walks")
     # Copies of a path compact into one, with the coordinates of its first source.
-    unique = cut(walks.groupBy("core", "kmers").agg(
-        F.min(F.struct("doc_id", "start")).alias("src"), F.count(F.lit(1)).alias("copies")))
-    # Only where several paths share a core can a k-mer's first source lie in another path. A path may also hold
-    # the same k-mer twice (a text that repeats itself), hence the second test.
-    branching = unique.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core")
-    self_repeat = F.size(F.array_distinct("kmers")) < F.size("kmers")
-    shared = unique.join(branching, "core", "left_semi").union(
-        unique.filter(self_repeat).join(branching, "core", "left_anti"))
-    edges = shared.select("core", "kmers", "src", F.posexplode("kmers").alias("i", "kmer"))
-    place = F.struct(F.col("src.doc_id").alias("doc_id"), (F.col("src.start") + F.col("i")).alias("pos"))
-    edges = cut(edges.select("core", F.xxhash64("kmers").alias("path"), F.col("src"), "kmer", "i", place.alias("place")))
-    first = edges.groupBy("core", "kmer").agg(F.min("place").alias("first"))
-    marks = (edges.join(first, ["core", "kmer"]).filter(F.col("place") != F.col("first"))
-             .groupBy("core", "path", "src").agg(F.collect_set("i").alias("later")))
-    known = cut(unique.select("core", "kmers", "src", "copies", F.xxhash64("kmers").alias("path"))
-                .join(marks, ["core", "path", "src"], "left")
-                .filter((F.col("copies") > 1) | F.col("later").isNotNull()).select("core", "kmers", "src", "later"))
-    own = (F.col("doc_id") == F.col("src.doc_id")) & (F.col("start") == F.col("src.start"))
-    removed = F.transform("kmers", lambda _, i: ~own | F.coalesce(F.array_contains(F.col("later"), i), F.lit(False)))
-    return walks.join(known, ["core", "kmers"]).select("doc_id", "start", removed.alias("removed")).filter(
-        F.exists("removed", lambda x: x))
+    unique = store(walks.groupBy("core", "path").agg(
+        F.min(F.struct("doc_id", "start")).alias("src"), F.count(F.lit(1)).alias("copies"), F.max("twice").alias("twice"))
+        .select("core", "path", F.col("src.doc_id").alias("src_doc"), F.col("src.start").alias("src_start"), "copies", "twice"),
+        "paths")
+    # Only where several paths share a core, or a path holds a k-mer twice, can a k-mer of a first source repeat.
+    branching = unique.groupBy("core").agg(F.count(F.lit(1)).alias("c"), F.max("twice").alias("t")).filter("c > 1 OR t")
+    open_paths = store(unique.join(branching, "core", "left_semi").select(
+        "core", "path", F.col("src_doc").alias("doc_id"), F.col("src_start").alias("start")), "branching")
+    spot = F.xxhash64("doc_id", "start")
+    some = maybe_member(rows, "doc_id", member_bitmap(open_paths, "doc_id"), how="keep").select("doc_id", "text")
+    spelled = maybe_member(path_rows(some, k, core, with_kmers=True).withColumn("spot", spot), "spot",
+                           member_bitmap(open_paths.select(spot.alias("spot")), "spot"), how="keep")
+    edges = store(spelled.drop("spot").join(open_paths.select("path", "doc_id", "start"), ["doc_id", "start"]), "edges")
+    edges = edges.select("core", "path", "doc_id", "start", F.posexplode("kmers").alias("i", "kmer"))
+    place = F.struct("doc_id", (F.col("start") + F.col("i")).alias("pos"))
+    first = edges.groupBy("core", "kmer").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    marks = (edges.join(first, ["core", "kmer"]).filter(place != F.col("first"))
+             .groupBy("core", "path").agg(F.collect_set("i").alias("later")))
+    known = store(unique.join(marks, ["core", "path"], "left").filter((F.col("copies") > 1) | F.col("later").isNotNull())
+                  .select("core", "path", "src_doc", "src_start", "later"), "known")
+    own = (F.col("doc_id") == F.col("src_doc")) & (F.col("start") == F.col("src_start"))
+    return (walks.select("core", "path", "doc_id", "start", "size").join(known, ["core", "path"])
+            .filter(~own | F.col("later").isNotNull())
+            .select("doc_id", "start", "size", F.when(own, F.col("later")).alias("later")))
 
 
 def dedup_spans(docs: DataFrame, k: int = 20, core: int = 10) -> DataFrame:
@@ -94,34 +144,43 @@ def dedup_spans(docs: DataFrame, k: int = 20, core: int = 10) -> DataFrame:
 
     1. Each document's walk through the De Bruijn graph of k-mers is compacted at once into paths by core (see
        :func:`paths`): about one path per six words instead of one row per word. Cores are counted map-side first;
-       those that occur twice become a bitmap of fixed size, and only paths with such a core travel on.
+       those that occur twice become a bitmap of fixed size, and only paths with such a core travel on, as a hash.
     2. Equal paths compact into one row with the coordinates of its first source, aggregated map-side, so a passage
        that a third of all documents share is one row per task. Only cores with several distinct paths branch: their
-       k-mers are looked up one by one. A join returns first sources to the paths, whose hot side AQE splits.
-    3. Per document the marks unite to spans. k-mers are equal when two independent 64-bit hashes, of the k-mer and
-       of its core, agree.
+       k-mers are spelled out at the first source of each path and looked up one by one. A join returns first
+       sources to the paths, whose hot side AQE splits.
+    3. Per document the marks unite to spans. k-mers are equal when the 64-bit hashes of the k-mer and of its core
+       agree, paths when those of the core and of all k-mers in order do.
 
     A null or empty text has no words. Rows without a doc_id are left out; rows that repeat a doc_id are one
     source coordinate, and each is treated like the first of them. An empty table gives no rows.
     """
     rows = id_text(docs)
-    marks = repeated_kmers(rows, k, core).groupBy("doc_id").agg(
-        F.collect_set(F.struct("start", "removed")).alias("marks"))
-    joined = rows.join(marks, "doc_id", "left").select(
-        "doc_id", "text", F.transform("marks", lambda m: m["start"]).alias("starts"),
-        F.transform("marks", lambda m: F.array_join(F.transform(m["removed"], lambda r: r.cast("int").cast("string")), "")).alias("masks"))
+    marks = store(repeated_kmers(rows, k, core), "marks")
+    per_doc = marks.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size", "later")).alias("marks"))
+    # Texts without a mark need no join: a bitmap of fixed size tells them apart in the scan.
+    flagged = maybe_member(rows, "doc_id", member_bitmap(marks, "doc_id"))
+    cols = [F.col("text"), F.transform("marks", lambda m: m["start"]).alias("starts"),
+            F.transform("marks", lambda m: m["size"]).alias("sizes"), F.transform("marks", lambda m: m["later"]).alias("laters")]
+    marked = flagged.filter("_maybe").select("doc_id", "text").join(per_doc, "doc_id", "left").select("doc_id", *cols)
+    plain = flagged.filter("NOT _maybe").select("doc_id", "text", *(F.lit(None).cast(t).alias(c) for c, t in (
+        ("starts", "array<int>"), ("sizes", "array<int>"), ("laters", "array<array<int>>"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, starts, masks in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            for text, starts, sizes, laters in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
                 words = text.encode("utf-8", "replace").split()
                 n = len(words)
                 depth = np.zeros(n + 1, np.int64)
-                for start, mask in zip(starts or (), masks or ()):
-                    at = start + np.flatnonzero(np.frombuffer(mask.encode(), np.uint8) == 49)
-                    np.add.at(depth, at, 1)
-                    np.add.at(depth, at + k, -1)
+                for start, size, later in zip(starts or (), sizes or (), laters or ()):
+                    if later is None:                         # every k-mer of the path: one span
+                        depth[start] += 1
+                        depth[start + size - 1 + k] -= 1
+                    else:
+                        at = start + np.array(later)
+                        np.add.at(depth, at, 1)
+                        np.add.at(depth, at + k, -1)
                 gone = np.cumsum(depth[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
                 kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g]) if len(edge) else b" ".join(words)
@@ -133,4 +192,5 @@ def dedup_spans(docs: DataFrame, k: int = 20, core: int = 10) -> DataFrame:
                                     enumerate((pa.int64(), pa.int64(), spans, pa.string())))],
                 ["doc_id", "n_words", "n_removed", "spans", "text"])
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, text string")
+    schema = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, text string"
+    return marked.mapInArrow(run, schema).unionByName(plain.mapInArrow(run, schema))
