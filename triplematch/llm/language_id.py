@@ -135,7 +135,9 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> M
     share = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(
         F.col("lang").alias("_lang"), (F.lit(float(per_language)) / F.col("n")).alias("_share"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = pool.join(share, (F.col("lang") == F.col("_lang")) & (draw < F.col("_share"))).select("doc_id", "lang", "text")
+    # one row per language to learn, as the model itself has: small, and a join by shuffle would deal out all texts
+    # by language
+    sample = pool.join(F.broadcast(share), (F.col("lang") == F.col("_lang")) & (draw < F.col("_share"))).select("doc_id", "lang", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
