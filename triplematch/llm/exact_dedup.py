@@ -54,7 +54,8 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = 64, digest_all: bool = Fals
     groups = members.groupBy("text_sha256").agg(
         F.count(F.lit(1)).alias("group_size"),
         F.max(F.struct(F.col("_points"), (-F.col("doc_id")).alias("_neg"))).alias("_top"))
-    groups = groups.select("text_sha256", "group_size", (-F.col("_top._neg")).alias("keep_id"))
+    # written before the join: then both join sides are plain shuffles, and AQE splits the members of a hot group
+    groups = cut(groups.select("text_sha256", "group_size", (-F.col("_top._neg")).alias("keep_id")))
     joined = members.join(groups, "text_sha256")
     alone = hashed.filter("NOT _maybe").select("doc_id", "text_sha256", F.lit(1).cast("long").alias("group_size"),
                                                F.col("doc_id").alias("keep_id"))
