@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,23 @@ from triplematch.llm.common import id_text, maybe_member, member_bitmap, mix64,
 
 
 _MUL = 0x9FB21C651E98DF25
+_DIGESTS: dict[bytes, int] = {}
+_MOST_DIGESTS = 1 << 18     # words whose digest a task keeps at most; beyond that it starts anew
+
+
+def word_digests(raw: bytes) -> np.ndarray:
+    """A second 64-bit hash per word, from its BLAKE2b digest: it shares nothing with ``word_hashes``."""
+    words = raw.split()
+    for w in set(words).difference(_DIGESTS):
+        if len(_DIGESTS) >= _MOST_DIGESTS:
+            break
+        _DIGESTS[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+    try:
+        return np.array([_DIGESTS[w] for w in words], np.uint64)
+    except KeyError:
+        _DIGESTS.clear()
+        own = {w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in set(words)}
+        return np.array([own[w] for w in words], np.uint64)
 
 
 def _runs(words: np.ndarray, n: int) -> np.ndarray:
@@ -78,28 +96,32 @@ def core_counts(rows: DataFrame, k: int, core: int) -> DataFrame:
 
 
 def path_rows(rows: DataFrame, k: int, core: int, with_kmers: bool = False) -> DataFrame:
-    """One row per path: doc_id, start, core, size, path (a 64-bit hash of its k-mers), twice (it may hold a k-mer
-    twice); or doc_id, start, core, kmers."""
+    """One row per path: doc_id, start, core, size, path and proof (64-bit hashes of its k-mers, by the two hashes of
+    a word), twice (it may hold a k-mer twice); or doc_id, start, core, kmers, proofs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 start, size, least, twice, kmers = _walk(text, k, core)
                 if not len(start):
                     continue
+                proofs = mix64(_runs(word_digests(text.encode("utf-8", "replace")), k))
                 head = [pa.array(np.full(len(start), doc)), pa.array(start.astype(np.int32)), pa.array(least.view(np.int64))]
                 if with_kmers:
                     at = pa.array(np.append(start, len(kmers)).astype(np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [*head, pa.ListArray.from_arrays(at, pa.array(kmers.view(np.int64)))], ["doc_id", "start", "core", "kmers"])
+                        [*head, *(pa.ListArray.from_arrays(at, pa.array(x.view(np.int64))) for x in (kmers, proofs))],
+                        ["doc_id", "start", "core", "kmers", "proofs"])
                     continue
-                place = np.arange(len(kmers)) - np.repeat(start, size)
-                path = mix64(np.add.reduceat(mix64(kmers ^ (place.astype(np.uint64) * np.uint64(_MUL))), start))
+                place = (np.arange(len(kmers)) - np.repeat(start, size)).astype(np.uint64) * np.uint64(_MUL)
+                path, proof = (mix64(np.add.reduceat(mix64(x ^ place), start)) for x in (kmers, proofs))
                 yield pa.RecordBatch.from_arrays(
-                    [*head, pa.array(size.astype(np.int32)), pa.array(path.view(np.int64)), pa.array(twice)],
-                    ["doc_id", "start", "core", "size", "path", "twice"])
+                    [*head, pa.array(size.astype(np.int32)), pa.array(path.view(np.int64)),
+                     pa.array(proof.view(np.int64)), pa.array(twice)],
+                    ["doc_id", "start", "core", "size", "path", "proof", "twice"])
 
     schema = "doc_id long, start int, core long, "
-    return rows.mapInArrow(run, schema + ("kmers array<long>" if with_kmers else "size int, path long, twice boolean"))
+    return rows.mapInArrow(run, schema + (
+        "kmers array<long>, proofs array<long>" if with_kmers else "size int, path long, proof long, twice boolean"))
 
 
 def repeated_kmers(rows: DataFrame, k: int, core: int) -> DataFrame:
@@ -108,28 +130,29 @@ def repeated_kmers(rows: DataFrame, k: int, core: int) -> DataFrame:
     seen = core_counts(rows, k, core).filter("n > 1")
     walks = store(maybe_member(path_rows(rows, k, core), "core", member_bitmap(seen, "core"), how="keep"), "walks")
     # Copies of a path compact into one, with the coordinates of its first source.
-    unique = store(walks.groupBy("core", "path").agg(
+    unique = store(walks.groupBy("core", "path", "proof").agg(
         F.min(F.struct("doc_id", "start")).alias("src"), F.count(F.lit(1)).alias("copies"), F.max("twice").alias("twice"))
-        .select("core", "path", F.col("src.doc_id").alias("src_doc"), F.col("src.start").alias("src_start"), "copies", "twice"),
+        .select("core", "path", "proof", F.col("src.doc_id").alias("src_doc"), F.col("src.start").alias("src_start"), "copies", "twice"),
         "paths")
     # Only where several paths share a core, or a path holds a k-mer twice, can a k-mer of a first source repeat.
     branching = unique.groupBy("core").agg(F.count(F.lit(1)).alias("c"), F.max("twice").alias("t")).filter("c > 1 OR t")
     open_paths = store(unique.join(branching, "core", "left_semi").select(
-        "core", "path", F.col("src_doc").alias("doc_id"), F.col("src_start").alias("start")), "branching")
+        "core", "path", "proof", F.col("src_doc").alias("doc_id"), F.col("src_start").alias("start")), "branching")
     spot = F.xxhash64("doc_id", "start")
     some = maybe_member(rows, "doc_id", member_bitmap(open_paths, "doc_id"), how="keep").select("doc_id", "text")
     spelled = maybe_member(path_rows(some, k, core, with_kmers=True).withColumn("spot", spot), "spot",
                            member_bitmap(open_paths.select(spot.alias("spot")), "spot"), how="keep")
-    edges = store(spelled.drop("spot").join(open_paths.select("path", "doc_id", "start"), ["doc_id", "start"]), "edges")
-    edges = edges.select("core", "path", "doc_id", "start", F.posexplode("kmers").alias("i", "kmer"))
+    edges = store(spelled.drop("spot").join(open_paths.select("path", "proof", "doc_id", "start"), ["doc_id", "start"]), "edges")
+    edges = edges.select("core", "path", "proof", "doc_id", "start", F.posexplode(F.arrays_zip("kmers", "proofs")).alias("i", "e")
+                         ).select("*", F.col("e.kmers").alias("kmer"), F.col("e.proofs").alias("kmer_proof")).drop("e")
     place = F.struct("doc_id", (F.col("start") + F.col("i")).alias("pos"))
-    first = edges.groupBy("core", "kmer").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    marks = (edges.join(first, ["core", "kmer"]).filter(place != F.col("first"))
-             .groupBy("core", "path").agg(F.collect_set("i").alias("later")))
-    known = store(unique.join(marks, ["core", "path"], "left").filter((F.col("copies") > 1) | F.col("later").isNotNull())
-                  .select("core", "path", "src_doc", "src_start", "later"), "known")
+    first = edges.groupBy("core", "kmer", "kmer_proof").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    marks = (edges.join(first, ["core", "kmer", "kmer_proof"]).filter(place != F.col("first"))
+             .groupBy("core", "path", "proof").agg(F.collect_set("i").alias("later")))
+    known = store(unique.join(marks, ["core", "path", "proof"], "left").filter((F.col("copies") > 1) | F.col("later").isNotNull())
+                  .select("core", "path", "proof", "src_doc", "src_start", "later"), "known")
     own = (F.col("doc_id") == F.col("src_doc")) & (F.col("start") == F.col("src_start"))
-    return (walks.select("core", "path", "doc_id", "start", "size").join(known, ["core", "path"])
+    return (walks.select("core", "path", "proof", "doc_id", "start", "size").join(known, ["core", "path", "proof"])
             .filter(~own | F.col("later").isNotNull())
             .select("doc_id", "start", "size", F.when(own, F.col("later")).alias("later")))
 
@@ -150,7 +173,9 @@ def dedup_spans(docs: DataFrame, k: int = 20, core: int = 10) -> DataFrame:
        k-mers are spelled out at the first source of each path and looked up one by one. A join returns first
        sources to the paths, whose hot side AQE splits.
     3. Per document the marks unite to spans. k-mers are equal when the 64-bit hashes of the k-mer and of its core
-       agree, paths when those of the core and of all k-mers in order do.
+       agree, paths when those of the core and of all k-mers in order do, and both only when a second hash agrees
+       too, made of BLAKE2b digests of the words: what a source and its repeat share is verified by two hashes that
+       are independent of each other.
 
     A null or empty text has no words. Rows without a doc_id are left out; rows that repeat a doc_id are one
     source coordinate, and each is treated like the first of them. An empty table gives no rows.
