@@ -65,6 +65,19 @@ def test_jaccard_chain_and_stage(spark, make_docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_stage_keeps_different_texts_of_one_doc_id(spark, make_docs):
+    near, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "nop")
+    docs = make_docs([(1, near), (5, near + " end", "en"), (5, other, "fr"), (5, other, "de"), (5, third), (7, third + " x"), (8, "solo"),
+                      (None, "no id")])
+    for d in (docs, docs.repartition(5)):
+        kept = jaccard_join.keep_one(d, 3, 90)
+        assert kept.columns == docs.columns
+        got = sorted((r.doc_id, r.text, r.lang or "") for r in kept.collect())
+        assert [(r[0], r[1]) for r in got] == sorted([(1, near), (5, other), (5, third), (8, "solo")])
+        assert {r[2] for r in got if r[1] == other} <= {"fr", "de"}
+    assert len({tuple(sorted(map(str, jaccard_join.keep_one(docs.repartition(n), 3, 90).collect()))) for n in (1, 3)}) == 1
+
+
 def test_jaccard_empty(spark, make_docs):
     assert jaccard_join.jaccard_components(make_docs([])).collect() == []
     assert [tuple(r) for r in jaccard_join.jaccard_components(make_docs([(1, None)])).collect()] == [(1, 0, 1)]

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triplematch.llm.common import cut, gram_hashes, id_text, maybe_member, member_bitmap, word_hashes
+from triplematch.llm.common import cut, fresh, gram_hashes, id_text, maybe_member, member_bitmap, word_hashes
+from triplematch.operators.windows import number_sorted
 
 SKETCH_BITS = 20     # the shingle frequency sketch has 2^20 counters, a fixed size of 4 MB
 SKETCH = 1 << SKETCH_BITS
@@ -268,6 +269,28 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id; all columns kept (the
-    pipeline's stage). Rows that repeat that doc_id are reduced to one."""
-    stay = jaccard_components(docs, words, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    pipeline's stage). Rows without a doc_id go.
+
+    Different texts under one doc_id are documents of their own: each but the first (by digest) joins the graph under
+    a number beyond all ids. Rows that repeat doc_id and text are reduced to the first by the digest of their columns.
+    """
+    repeated = cut(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        stay = jaccard_components(docs, words, percent).filter("doc_id = component_id").select("doc_id")
+        return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    sha, node = fresh(docs, "_sha"), fresh(docs, "_node")
+    keyed = docs.filter("doc_id IS NOT NULL").withColumn(sha, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    texts = keyed.join(repeated, "doc_id", "left_semi").select("doc_id", sha).distinct()
+    firsts = texts.groupBy("doc_id").agg(F.min(sha).alias(sha))
+    others = texts.join(firsts, ["doc_id", sha], "left_anti").withColumn("_order", F.concat_ws(" ", sha, "doc_id"))
+    top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+    others = cut(number_sorted(cut(others), "_order", "_n").select("doc_id", sha, (F.col("_n") + 1 + F.lit(top)).alias(node)))
+    named = keyed.join(others, ["doc_id", sha], "left").withColumn(node, F.coalesce(node, F.col("doc_id").cast("long")))
+    found = jaccard_components(named.select(F.col(node).alias("doc_id"), "text"), words, percent).withColumnRenamed("doc_id", node)
+    own = found.join(others.select(node, F.col("doc_id").alias("_own")), node, "left")
+    stay = own.groupBy("component_id").agg(F.min(F.struct(F.coalesce("_own", node).alias("id"), F.col(node))).alias("least"))
+    kept = named.join(stay.select(F.col(f"least.{node}").alias(node)), node, "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.sha2(F.to_json(F.struct(*rest)), 256) if rest else F.lit("")
+    return (kept.groupBy(node).agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
+            .select("_row.*").select(*docs.columns))
