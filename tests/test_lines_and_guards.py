@@ -108,6 +108,19 @@ def test_numbering_helpers(spark):
     assert number_sorted(words.limit(0), "w", "n").collect() == []
 
 
+def test_curve_keeps_a_null_group(spark):
+    rows = [(1, 0.9), (0, 0.8), (1, 0.4), (0, 0.2)]
+    df = spark.createDataFrame([(s, y, c) for s in ("a", None) for y, c in rows], "system string, y int, score double")
+    mult = spark.createDataFrame([("a", 0.5), (None, 0.5)], "system string, multiplier double")
+    curve = ev.pr_curve(df, by=["system"], multiplier=mult)
+    got = {}
+    for r in curve.collect():
+        got.setdefault(r.system, set()).add((r.threshold, r.precision, r.recall, r.tp, r.n))
+    assert got[None] == got["a"] and len(got["a"]) == 4
+    areas = {r.system: r.auc for r in ev.auc(curve, by=["system"]).collect()}
+    assert areas[None] == areas["a"] > 0
+
+
 def test_next_turn_skips_gaps(spark):
     rows = [("c", 0, "user", "q0"), ("c", 5, "assistant", "a5"), ("c", 9000, "user", "q9000"), ("c", 20_001, "assistant", "a20001"),
             ("c", 20_002, "user", "last"), ("d", 3, "user", "only")]

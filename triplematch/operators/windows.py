@@ -13,6 +13,18 @@ BLOCK = 1 << 20
 SPLITTERS = 1000  # ranges of a numbering over a sortable key; only their balance depends on it
 
 
+def join_groups(left: DataFrame, right: DataFrame, groups: list[str], keys: list[str] | None = None,
+                how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``, joined on ``groups``, where null equals null, and on ``keys``."""
+    if not groups:
+        return left.join(right, list(keys or []), how)
+    named = right.select(*[F.col(c).alias(f"_g_{c}") for c in groups], *[c for c in right.columns if c not in groups])
+    for c in keys or []:
+        named = named.withColumnRenamed(c, f"_k_{c}")
+    on = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in groups] + [F.col(c) == F.col(f"_k_{c}") for c in keys or []]
+    return left.join(named, on, how).drop(*[f"_g_{c}" for c in groups], *[f"_k_{c}" for c in keys or []])
+
+
 def _offsets(counts: DataFrame, order: list[str], n: str) -> DataFrame:
     """Exclusive running sum over a table of one row per block, range or file split (small)."""
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -40,7 +52,7 @@ def number_by(df: DataFrame, order: str, col: str, block: int = BLOCK) -> DataFr
     """W1 over an integer order column: a dense 0-based number in ``order``.
 
     Blocks of ``block`` consecutive order values are numbered in parallel; the rows of the blocks before come from
-    a table of one row per block.
+    a table of one row per block. Rows whose ``order`` is null take no part.
     """
     d = df.withColumn("_blk", F.floor(F.col(order) / F.lit(block)).cast("long"))
     offs = _offsets(d.groupBy("_blk").agg(F.count(F.lit(1)).alias("_n")), ["_blk"], "_n").drop("_n")
@@ -70,7 +82,7 @@ def running_sums(df: DataFrame, key: str, sums: dict[str, str], partition: list[
     above = Window.partitionBy(*part).orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*part, "_blk", *[F.coalesce(F.sum(f"_s_{n}").over(above), F.lit(0)).alias(f"_o_{n}") for n in sums])
     inside = Window.partitionBy(*part, "_blk").orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.select("*", *[F.sum(c).over(inside).alias(f"_i_{n}") for n, c in sums.items()]).join(per, [*part, "_blk"])
+    d = join_groups(d.select("*", *[F.sum(c).over(inside).alias(f"_i_{n}") for n, c in sums.items()]), per, part, ["_blk"])
     return d.select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
 
 
