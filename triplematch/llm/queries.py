@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplematch.llm import exact_dedup, jaccard_join, language_id, licenses, mixing, packing, quality, substring_dedup, topk, toxicity
+from triplematch.llm import exact_dedup, jaccard_join, language_id, licenses, mixing, packing, quality, secret_scan, substring_dedup, topk, toxicity
 from triplematch.llm.common import crc_mod, documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = substring_dedup.dedup_spans(documents(spark, sf_dir), k=20)
     return spans.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(documents(spark, sf_dir)))
