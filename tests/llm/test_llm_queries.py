@@ -21,4 +21,4 @@ def test_matches_oracle(spark, duck, name):
 def test_one_query_per_operator():
     import re
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))

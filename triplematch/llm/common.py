@@ -172,3 +172,30 @@ def gram_hashes(words: np.ndarray, n: int, seed: int = 0x2545F4914F6CDD1D) -> np
         h *= mul
         h += words[i:i + m]
     return mix64(h)
+
+
+def sorted_runs(df: DataFrame, order: list[Column], what: str) -> DataFrame:
+    """``df`` in ranges of ``order``, written and read again, with ``_run`` (number of the range, ascending with the
+    order) and ``_at`` (position in it, ascending, with gaps between ranges only).
+
+    A range is one task's share, whatever a key's weight: the row's place in its input breaks ties, so equal keys
+    split over ranges. Both columns are frozen by the write; a lost executor after it changes nothing.
+    """
+    tie = fresh(df, "_tie")
+    keys = [*order, F.col(tie)]
+    runs = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return store(runs.drop(tie).withColumn("_run", F.spark_partition_id()).withColumn(
+        "_at", F.monotonically_increasing_id()), what)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text's UTF-8 bytes; needs the column ``tab`` of ``crc_table`` in scope."""
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT"
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295, [{byte} FOR i IN range(1, 1 + octet_length(encode({text})))]), "
+            "lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1])))")
+
+
+#: A common table expression with the 256 entries of the reflected crc32 polynomial, made by its rule.
+CRC_TABLE_SQL = """crc_table AS (SELECT list(list_reduce(list_prepend(v, [0 FOR i IN range(8)]),
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY v) AS tab
+    FROM (SELECT unnest(range(256))::BIGINT AS v))"""
