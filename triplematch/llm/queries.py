@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplematch.llm import exact_dedup, jaccard_join, language_id, licenses, mixing, packing, quality, resampling, secret_scan, substring_dedup, topk, toxicity
+from triplematch.llm import exact_dedup, jaccard_join, language_id, licenses, mixing, packing, prefix_trie, quality, resampling, secret_scan, substring_dedup, topk, toxicity
 from triplematch.llm.common import crc_mod, documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,11 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_importance_resampling"] = resampling.ORACLE
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_prefix_trie"] = prefix_trie.ORACLE
