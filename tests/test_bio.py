@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import DATA
+from places import DATA
 from triplematch.operators import bio
 
 CONLL = os.path.join(DATA, "rnnie_propbank_test.sample.conll")

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from conftest import SF_CHECK
+from places import SF_CHECK
 from triplematch.plans.registry import load_all
 
 QUERIES = load_all()

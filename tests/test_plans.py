@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from places import SF_SMALL
 from triplematch.plans.registry import load_all
 
 QUERIES = load_all()

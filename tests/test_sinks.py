@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import DATA
+from places import DATA
 from triplematch.operators import evaluate as ev
 from triplematch.sources import readers, sinks
 

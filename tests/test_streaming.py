@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from places import SF_SMALL
 from triplematch.operators import scoring
 from triplematch.session import table
 from triplematch.streaming import scoring as stream_scoring
