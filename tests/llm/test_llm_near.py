@@ -146,6 +146,20 @@ def test_substring_repeated_rows_and_empty(spark, make_docs):
     assert substring_dedup.dedup_spans(make_docs([])).collect() == []
 
 
+def test_substring_one_id_with_two_texts(spark, make_docs):
+    long, other = " ".join(f"u{i}" for i in range(300)), " ".join(f"t{i}" for i in range(3))
+    rows = [(7, long), (7, other), (7, other), (8, long), (8, ""), (9, " ".join(f"u{i}" for i in range(250, 300)))]
+    got = got_spans(make_docs(rows))
+    assert sorted((r[0], r[1], r[2]) for r in got) == [(7, 3, 0), (7, 3, 0), (7, 300, 0), (8, 0, 0), (8, 300, 300), (9, 50, 50)]
+
+
+def test_word_proofs_are_a_polynomial_over_a_prime_field():
+    from triplematch.llm.common import mix64
+    raw, m = "one é two\n\n one x".encode(), substring_dedup._PRIME
+    want = [sum((b + 1) * pow(substring_dedup._BASE, i, m) for i, b in enumerate(w)) % m ^ len(w) << 32 for w in raw.split()]
+    assert (substring_dedup.word_proofs(raw) == mix64(np.array(want, np.uint64))).all()
+
+
 def test_equal_word_hashes_remove_nothing(spark, make_docs):
     from triplematch.llm.common import word_hashes
     a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))     # a polynomial modulo 2^64 can't tell these two apart

@@ -108,7 +108,7 @@ _P_INV = pow(_P, -1, 1 << 64)
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2^64, at least n of them."""
     size = 1 << max(12, (n - 1).bit_length())
     if size not in _TABLES:
@@ -154,7 +154,7 @@ def word_hashes(raw: bytes) -> np.ndarray:
     b, s, e = word_spans(raw)
     if not len(s):
         return np.zeros(0, np.uint64)
-    p, q = _powers(len(b) + 1)
+    p, q = powers(len(b) + 1)
     acc = np.empty(len(b) + 1, np.uint64)
     acc[0] = 0
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * p[:len(b)], out=acc[1:])

@@ -15,6 +15,7 @@ from triplematch.operators.windows import number_sorted
 
 SKETCH_BITS = 20     # the shingle frequency sketch has 2^20 counters, a fixed size of 4 MB
 SKETCH = 1 << SKETCH_BITS
+SKETCH_BLOCKS = 64   # ranges of cells that are summed up apart
 BINS = 512           # cells of a set's histogram
 PARITY = 8           # longs of the parity bitmap of a set
 
@@ -35,31 +36,35 @@ def _cell(g: np.ndarray) -> np.ndarray:
 def frequency_classes(rows: DataFrame, words: int) -> np.ndarray:
     """A coarse frequency class for each of SKETCH cells of shingle hashes, counted over all documents.
 
-    Tasks add up one fixed-size counter array each; partial arrays are summed in a tree of streaming sums, so no
-    task holds more than two of them. The classes only order the shingles: rare cells come first in a prefix.
-    Any order gives the same links, so cells shared by chance cost time, not results.
+    Each task adds up one array of SKETCH counters over its rows and sends it in SKETCH_BLOCKS ranges of cells; the
+    ranges are summed up by as many tasks, each streaming one range (64 KB) of every input task. The driver receives
+    SKETCH numbers. The classes only order the shingles: rare cells come first in a prefix. Any order gives the same
+    links, so cells shared by chance cost time, not results.
     """
-    def blob(counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([counts.astype("<u4").tobytes()], pa.binary())], ["counts"])
+    width = SKETCH // SKETCH_BLOCKS
+
+    def ranges(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(
+            [c.astype("<u8").tobytes() for c in total.values()], pa.binary())], ["block", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 np.add.at(total, _cell(shingles(text, words)), 1)
-        yield blob(total)
+        yield ranges({i: c for i in range(SKETCH_BLOCKS) if (c := total[i * width:(i + 1) * width]).any()})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for raw in batch.column(0):
-                total += np.frombuffer(raw.as_buffer(), "<u4")
-        yield blob(total)
-
-    parts = rows.select("text").mapInArrow(count, "counts binary")
-    parts = parts.repartition(16).mapInArrow(add, "counts binary").coalesce(1).mapInArrow(add, "counts binary")
-    found = parts.collect()                                    # one array of SKETCH counters
-    counts = sum((np.frombuffer(r[0], "<u4") for r in found), np.zeros(SKETCH, np.int64))
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total[i] = total.get(i, 0) + np.frombuffer(raw.as_buffer(), "<u8").astype(np.int64)
+        yield ranges(total)
+
+    parts = rows.select("text").mapInArrow(count, "block int, counts binary")
+    counts = np.zeros(SKETCH, np.int64)
+    for i, raw in parts.repartition(SKETCH_BLOCKS, "block").mapInArrow(add, "block int, counts binary").collect():
+        counts[i * width:(i + 1) * width] = np.frombuffer(raw, "<u8")
     typical = max(1.0, float(np.median(counts)))
     return np.floor(2 * np.log2(np.maximum(counts / typical, 1))).astype(np.uint8)
 
