@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from triplematch.operators import bio, construct as C, evaluate as ev, scoring
-from triplematch.operators.windows import next_order, number_by, number_sorted, read_numbered
+from triplematch.operators.windows import next_order, number_by, number_sorted, previous_row, read_numbered, sorted_runs
 from triplematch.sources import readers
 
 N = 300_000
@@ -101,13 +101,46 @@ def test_training_rows_keep_every_run(spark, aqe):
 def test_numbering_helpers(spark):
     df = spark.range(5000).select((F.col("id") * 37 % 5003).alias("k"))
     want = {k: i for i, k in enumerate(sorted(r.k for r in df.collect()))}
-    for out in (number_by(df, "k", "n", block=64), number_sorted(df, "k", "n", splitters=7)):
+    for out in (number_by(df, "k", "n", block=64), number_sorted(df, "k", "n")):
         assert {r.k: r.n for r in out.collect()} == want
     words = spark.createDataFrame([("b",), ("a",), ("ç",), ("aa",)], "w string")
     assert {r.w: r.n for r in number_sorted(words, "w", "n").collect()} == {"a": 0, "aa": 1, "b": 2, "ç": 3}
     assert number_sorted(words.limit(0), "w", "n").collect() == []
 
 
+def test_ranges_stay_balanced_when_one_key_holds_half_of_the_rows(spark):
+    n = 40_000
+    df = spark.range(n).select(F.when(F.col("id") % 2 == 0, 0.5).otherwise(F.col("id") / n).alias("k"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")   # small ranges are merged otherwise
+    try:
+        sizes = [r["count"] for r in sorted_runs(df, F.col("k")).groupBy("_run").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) <= 2 * n / len(sizes)
+    rows = number_sorted(df, ["k", "id"], "n").orderBy("n").collect()
+    assert [r.n for r in rows] == list(range(n)) and [(r.k, r.id) for r in rows] == sorted((r.k, r.id) for r in rows)
+    prev = previous_row(df, F.col("id"), [F.col("k"), F.col("id")], "before").collect()
+    at = {r.id: r.before for r in prev}
+    assert all(at[b.id] == a.id for a, b in zip(rows, rows[1:])) and at[rows[0].id] is None
+
+
+def test_curve_and_auc_with_half_of_the_points_at_one_recall(spark):
+    rows = [(1, 0.99)] + [(0, i / 5000) for i in range(1, 4000)] + [(1, i / 5000 + 1e-5) for i in range(3000, 3050)]
+    df = spark.createDataFrame(rows, "y int, score double")
+    curve = ev.pr_curve(df)
+    tp, n, pts = 0, 0, []
+    for y, _ in sorted(rows, key=lambda r: -r[1]):
+        tp, n = tp + y, n + 1
+        pts.append((tp / n, tp / 51))
+        if tp == 51:
+            break
+    got = [(r.precision, r.recall) for r in curve.filter("threshold IS NOT NULL").orderBy(F.col("threshold").desc()).collect()]
+    assert got == pts
+    pts = sorted([(r, i, p) for i, (p, r) in enumerate(pts)] + [(0.0, -1, 1.0)])
+    want = sum((b[0] - a[0]) * (b[2] + a[2]) / 2 for a, b in zip(pts, pts[1:]))
+    assert ev.auc(curve).first().auc == pytest.approx(want, abs=1e-12)
+
+
 def test_curve_keeps_a_null_group(spark):
     rows = [(1, 0.9), (0, 0.8), (1, 0.4), (0, 0.2)]
     df = spark.createDataFrame([(s, y, c) for s in ("a", None) for y, c in rows], "system string, y int, score double")

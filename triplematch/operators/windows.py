@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from triplematch.session import write_table
+
 BLOCK = 1 << 20
-SPLITTERS = 1000  # ranges of a numbering over a sortable key; only their balance depends on it
 
 
 def join_groups(left: DataFrame, right: DataFrame, groups: list[str], keys: list[str] | None = None,
@@ -61,42 +62,62 @@ def number_by(df: DataFrame, order: str, col: str, block: int = BLOCK) -> DataFr
              .withColumn(col, (F.col("_off") + F.col("_pos") - 1).cast("long")).drop("_blk", "_pos", "_off"))
 
 
-def range_column(df: DataFrame, key: str, splitters: int = SPLITTERS) -> Column:
-    """The number of the range that ``key`` falls into: at most ``splitters`` values of it, picked by hash, cut the
-    key space. Equal keys share a range, ranges ascend with the key. One small job picks the values."""
-    picked = [r[0] for r in df.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(splitters).collect()]
-    cuts = F.array(*[F.lit(x) for x in sorted(set(picked))]) if picked else F.array().cast(
-        f"array<{df.schema[key].dataType.simpleString()}>")
-    return F.size(F.filter(cuts, lambda x: x <= F.col(key)))
+def sorted_runs(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` in ranges of ``order``, with ``_run`` (number of the range, ascending with the order) and ``_at``
+    (ascending in the range by steps of one).
+
+    The input is evaluated once: Spark sorts it by ranges, and the ranges are written and read again, which freezes both
+    columns. A range is one task's share whatever a key's weight: the place of a row in the input is the last sort key,
+    so equal keys spread over ranges. Consumers combine ranges by tables of one row per range (and group).
+    """
+    keys = [*order, F.col("_tie")]
+    runs = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return write_table(runs.drop("_tie").withColumn("_run", F.spark_partition_id())
+                       .withColumn("_at", F.monotonically_increasing_id()), "runs")
 
 
 def running_sums(df: DataFrame, key: str, sums: dict[str, str], partition: list[str] | None = None) -> DataFrame:
-    """Sums of columns (``new name -> column``) over the rows of equal or greater ``key``, per partition.
+    """Sums of columns (``new name -> column``) over the rows of greater or equal ``key``, per partition.
 
-    Ranges of the key are summed up in parallel; the sums of the ranges above come from a table of one row per
-    range, so no task sees more than a range of the rows.
+    Balanced ranges of (partition, key) are summed up in parallel; the sums of a partition's ranges before come from a
+    table of one row per range, so no task sees more than a range of the rows. ``key`` is unique within a partition.
     """
     part = list(partition or [])
-    d = df.withColumn("_blk", range_column(df, key))
-    per = d.groupBy(*part, "_blk").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
-    above = Window.partitionBy(*part).orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(*part, "_blk", *[F.coalesce(F.sum(f"_s_{n}").over(above), F.lit(0)).alias(f"_o_{n}") for n in sums])
-    inside = Window.partitionBy(*part, "_blk").orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    d = join_groups(d.select("*", *[F.sum(c).over(inside).alias(f"_i_{n}") for n, c in sums.items()]), per, part, ["_blk"])
+    d = sorted_runs(df, *[F.col(c) for c in part], F.col(key).desc())
+    per = d.groupBy(*part, "_run").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
+    above = Window.partitionBy(*part).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*part, "_run", *[F.coalesce(F.sum(f"_s_{n}").over(above), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    inside = Window.partitionBy(*part, "_run").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    d = join_groups(d.select("*", *[F.sum(c).over(inside).alias(f"_i_{n}") for n, c in sums.items()]), per, part, ["_run"])
     return d.select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
 
 
-def number_sorted(df: DataFrame, order: str, col: str, splitters: int = SPLITTERS) -> DataFrame:
-    """W1 over any sortable, non-NULL column (e.g. words): a dense 0-based number in its order.
+def previous_row(df: DataFrame, value: Column, order: list[Column], out: str, partition: list[str] | None = None) -> DataFrame:
+    """``df`` plus ``out``: ``value`` of the row before, in ``order`` within its partition (null for the first).
 
-    At most ``splitters`` values, picked by hash, cut the key space into ranges; each range is numbered in parallel
-    and offset by the rows of the ranges before it. The numbers do not depend on which values were picked.
+    Within a balanced range by ``lag``; a range's first row takes the last one of the partition's range before, from a
+    table of one row per range.
     """
-    d = df.withColumn("_blk", range_column(df, order, splitters))
-    offs = _offsets(d.groupBy("_blk").agg(F.count(F.lit(1)).alias("_n")), ["_blk"], "_n").drop("_n")
-    pos = F.row_number().over(Window.partitionBy("_blk").orderBy(order))
-    return (d.withColumn("_pos", pos).join(offs, "_blk")
-             .withColumn(col, (F.col("_off") + F.col("_pos") - 1).cast("long")).drop("_blk", "_pos", "_off"))
+    part = list(partition or [])
+    d = sorted_runs(df, *[F.col(c) for c in part], *order).withColumn("_v", value)
+    last = d.groupBy(*part, "_run").agg(F.max_by("_v", "_at").alias("_last"))
+    carry = last.select(*part, "_run", F.lag("_last").over(Window.partitionBy(*part).orderBy("_run")).alias("_carry"))
+    here = Window.partitionBy(*part, "_run").orderBy("_at")
+    d = d.withColumn("_prev", F.lag("_v").over(here)).withColumn("_first", F.row_number().over(here) == 1)
+    d = join_groups(d, carry, part, ["_run"])
+    return d.select(*df.columns, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev")).alias(out))
+
+
+def number_sorted(df: DataFrame, order: str | list[str], col: str) -> DataFrame:
+    """W1 over any sortable columns (e.g. words): a dense 0-based number in their order, nulls first, ties in any order.
+
+    Balanced ranges (:func:`sorted_runs`) are offset by the rows of the ranges before them, from a broadcast table of
+    one row per range. No window sees a row of the data.
+    """
+    d = sorted_runs(df, *[F.col(c) for c in ([order] if isinstance(order, str) else order)])
+    per = d.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    offs = _offsets(per, ["_run"], "_n").drop("_n")
+    return d.join(F.broadcast(offs), "_run").select(*df.columns, (F.col("_off") + F.col("_at") - F.col("_first")).cast("long").alias(col))
 
 
 def forward_fill(df: DataFrame, order: str, value: str, out: str, block: int = BLOCK,

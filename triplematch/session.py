@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,7 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     try:
         sc = spark.sparkContext
     except Exception:  # remote session: the server side owns the checkpoint folder
-        return conf_dir or ""
+        if not conf_dir:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share") from None
+        return conf_dir
     if conf_dir:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(conf_dir)
@@ -69,6 +72,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_table(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read again: computed once, and smaller than a checkpoint."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread_on: str | None = None) -> DataFrame:
     """Read one driver table. ``spread_on``: see :func:`spread_small_input`."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
