@@ -1,4 +1,4 @@
-"""Text and token Column functions."""
+"""Text and token Column functions."""
 
 from __future__ import annotations
 
@@ -40,6 +40,11 @@ def space_words(text: ColumnOrName) -> Column:
     return F.split(_c(text), " +")
 
 
+def trim_word(word: ColumnOrName) -> Column:
+    """the white space around a word goes, its case stays."""
+    return F.regexp_replace(_c(word), r"(?U)^\s+|\s+$", "")
+
+
 def collapse_spaces(text: ColumnOrName) -> Column:
     """F18 ``preproc``: single spaces between the non-empty space-separated words."""
     return F.array_join(F.filter(F.split(_c(text), " "), lambda w: w != F.lit("")), " ")
