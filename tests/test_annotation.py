@@ -1,0 +1,133 @@
+"""The annotation chain over files and its argument orders, against plain re-statements."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from triplematch.operators import construct as C
+from triplematch.operators import ordering as O
+from triplematch.sources import readers, sinks
+
+QASRL = """WSJ_12\t0
+The cats ate the fish quickly and it slept .
+2\tate\t2
+what\t_\t_\tate\tsomething\t_\t_\t?\tThe catz###cats
+what\tdid\tsomeone\teat\t_\t_\t_\t?\tthe fish###fish quickly
+7\tslept\t1
+what\t_\t_\tslept\t_\t_\t_\t?\tit
+
+WSJ_13\t0
+Dogs bark at dogs .
+1\tbark\t2
+who\tmight not\t_\tbark\t_\t_\t_\t?\tDogs
+who\t_\t_\tbark\t_\tat\t_\t?\tdogs
+"""
+
+
+def rows(df):
+    return [(r.ord, r.sent_id, r.variant, r.pred, r.pred_indices, r.args, r.arg_indices, r.labels) for r in df.orderBy("ord").collect()]
+
+
+def test_chain(spark, tmp_path):
+    path = tmp_path / "qa.txt"
+    path.write_text(QASRL)
+    ex = C.annotate(C.read_qasrl(spark, str(path)))
+    assert rows(ex) == [
+        # 'The catz' is found by its fuzzy second word; 'cats' alone does not lie in it word for word, so both answers stay
+        (0, 12, 0, "ate", [2], ["The catz", "the fish"], [[0, 1], [3, 4]], ["A0-B", "A0-I", "P-B", "A1-B", "A1-I", "O", "O", "O", "O", "O"]),
+        (1, 12, 1, "ate", [2], ["The catz", "fish quickly"], [[0, 1], [4, 5]], ["A0-B", "A0-I", "P-B", "O", "A1-B", "A1-I", "O", "O", "O", "O"]),
+        (2, 12, 2, "ate", [2], ["cats", "the fish"], [[1], [3, 4]], ["O", "A0-B", "P-B", "A1-B", "A1-I", "O", "O", "O", "O", "O"]),
+        (3, 12, 3, "ate", [2], ["cats", "fish quickly"], [[1], [4, 5]], ["O", "A0-B", "P-B", "O", "A1-B", "A1-I", "O", "O", "O", "O"]),
+        # 'slept' has the pronoun 'it' for its only argument (P8) and is gone
+        (4, 13, 0, "might not bark", [1], ["Dogs", "dogs"], [[0], [3]], ["A0-B", "P-B", "O", "A1-B", "O"]),
+    ]
+    assert [r[3] for r in rows(C.annotate(C.read_qasrl(spark, str(path)), pronouns=None))].count("slept") == 1
+
+
+def test_pronouns_by_tag_column(spark, tmp_path):
+    path = tmp_path / "qa.txt"
+    path.write_text(QASRL)
+    s = C.read_qasrl(spark, str(path)).withColumn("tags", F.transform(F.split("sent", " "), lambda w: F.when(
+        w.isin("it", "Dogs"), F.lit("PRP")).otherwise(F.lit("NN"))))
+    ex = C.qasrl_extractions(s).join(s.select("sent_id", "tags"), "sent_id")
+    assert {r.pred for r in C.load_extractions(ex, pos="tags").collect()} == {"ate"}
+
+
+def test_chain_equals_its_text_form(spark, tmp_path):
+    path = tmp_path / "qa.txt"
+    path.write_text(QASRL)
+    ex = C.qasrl_extractions(C.read_qasrl(spark, str(path)), None, C.token_similarity, C.may_exceed)
+    out = str(tmp_path / "lines")
+    sinks.write_text(C.extraction_lines(ex), out, ["sent_id", "part", "pred_ord", "variant"])
+    back = C.load_extractions(C.read_extraction_lines(spark, out), C.token_similarity, C.may_exceed, C.PRONOUNS).orderBy("line_no").collect()
+    want = C.annotate(C.read_qasrl(spark, str(path))).orderBy("ord").collect()
+    assert [(r.sent, r.pred, r.args, r.arg_indices, r.questions) for r in back] == [
+        (r.sent, r.pred, r.args, r.arg_indices, r.questions) for r in want]
+
+
+def test_chain_to_files(spark, tmp_path):
+    path = tmp_path / "qa.txt"
+    path.write_text(QASRL)
+    ex = C.annotate(C.read_qasrl(spark, str(path)))
+    sinks.write_training_conll(C.training_conll_rows(ex), str(tmp_path / "conll"))
+    tokens = readers.read_training_conll(spark, str(tmp_path / "conll")).orderBy("run_id", "word_id").collect()
+    assert [(t.run_id, t.word, t.label) for t in tokens] == [
+        (r.ord, w, lab) for r in ex.orderBy("ord").collect() for w, lab in zip(r.sent.split(" "), r.labels)]
+    gold = str(tmp_path / "gold")
+    sinks.write_text(O.gold_lines(ex), gold, ["ord"])
+    read = readers.read_gold(spark, gold)
+    assert sorted((r.sent, r.pred, tuple(r.args)) for r in read.collect()) == sorted(
+        (r.sent, r.pred, tuple(r.args)) for r in ex.collect())
+
+
+def located_frame(spark, exs):
+    """exs: (ord, sent_id, sent, pred, [(q, arg, indices)])."""
+    rows = [(o, s, t, p, [x[1] for x in loc], [{"q": q, "arg": a, "indices": i} for q, a, i in loc]) for o, s, t, p, loc in exs]
+    return spark.createDataFrame(rows, "ord long, sent_id long, sent string, pred string, args array<string>, "
+                                       "located array<struct<q:string,arg:string,indices:array<int>>>")
+
+
+def test_order_by_place_unites_the_indices_of_a_sentence(spark):
+    q = [f"w{i} _ s _ o _ _ ?" for i in range(4)]
+    ex = located_frame(spark, [
+        (0, 1, "x", "p", [(q[0], "a", [5]), (q[1], "b", [3]), (q[2], "c", []), (q[3], "d", [2]), (q[3], "e", [1])]),
+        (1, 1, "x", "p", [(q[0], "f", [0, 9]), (q[2], "g", [7])]),
+        (2, 2, "y", "p", [(q[0], "h", [8]), (q[1], "i", [8])]),
+        (3, 2, "y", "p", [])])
+    got = {r.ord: [a.arg for a in r.ordered] if r.ordered is not None else None for r in O.by_index(ex).collect()}
+    # q0 starts at 0 in sentence 1 (second extraction); c has no place there but g's 7; two arguments for q3: left out
+    assert got == {0: ["a", "b", "c"], 1: ["f", "g"], 2: ["h", "i"], 3: None}
+
+
+def test_order_by_distribution_against_a_restatement(spark):
+    rng = random.Random(8)
+    gen = [f"w{i} s o" for i in range(6)]
+    counts = {g: {s: rng.randrange(1, 5) for s in rng.sample(range(4), rng.randrange(1, 4))} for g in gen[:5]}   # the last is unknown
+    exs = []
+    for o in range(60):
+        picks = rng.sample(range(6), rng.randrange(1, 6))
+        exs.append((o, o // 3, "the sent", "might act", [(f"w{i} did s acted o to _ ?", f"arg{o}_{i}", [rng.randrange(9)]) for i in picks]))
+    dist = spark.createDataFrame([(g, s, c) for g, d in counts.items() for s, c in d.items()], "gen_question string, slot int, cnt long")
+    got = {r.ord: [a.arg for a in r.ordered] for r in O.by_distribution(located_frame(spark, exs), dist).collect()}
+    for o, _, _, _, loc in exs:
+        qs = [(q, a, counts.get(" ".join([q.split()[0], "s", "o"]), {})) for q, a, _ in loc]
+        first = max(range(len(qs)), key=lambda i: (qs[i][2].get(0, 0) / (sum(qs[i][2].values()) or 1), -i))
+        out = {0: [qs[first][1]], 100: []}
+        for i in sorted((i for i in range(len(qs)) if i != first), key=lambda i: (-sum(qs[i][2].values()), i)):
+            for slot, _ in sorted(qs[i][2].items(), key=lambda kv: (-kv[1], kv[0])):
+                if slot not in out:
+                    out[slot] = [qs[i][1]]
+                    break
+            else:
+                out[100].append(qs[i][1])
+        assert got[o] == [a for k in sorted(out) for a in out[k]]
+    line = {r.ord: r.value for r in O.gold_lines(located_frame(spark, exs), "distribution", dist).collect()}
+    # one trigger and one preposition: a multi-word predicate, whose arguments take no preposition
+    assert line[0].split("\t") == ["the sent", "act", "might acted to", *got[0]]
+
+
+def test_distribution_counts_places(spark):
+    q = ["who _ _ act _ _ _ ?", "what _ x act y _ _ ?"]
+    ex = located_frame(spark, [(0, 0, "s", "p", [(q[0], "a", [4]), (q[1], "b", [1])]), (1, 0, "s", "p", [(q[0], "c", [0])])])
+    got = sorted(tuple(r) for r in O.question_distribution(ex).collect())
+    assert got == [("what x y", 0, 1), ("who _ _", 0, 1), ("who _ _", 1, 1)]

@@ -36,6 +36,9 @@ ENGLISH_STOPWORDS = [
 ]
 STOPWORDS_AND_PUNCT = ENGLISH_STOPWORDS + list(ASCII_PUNCT)
 
+# --- fixed values: the characters that count as white space around a word (Unicode's and the ASCII separators) ---
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 # --- fixed values: scoring constants ---
 LEXICAL_THRESHOLD = 0.5      # M1/M2 coverage must exceed this
 BLEU_THRESHOLD = 0.4         # M5

@@ -42,7 +42,7 @@ def space_words(text: ColumnOrName) -> Column:
 
 def trim_word(word: ColumnOrName) -> Column:
     """the white space around a word goes, its case stays."""
-    return F.regexp_replace(_c(word), r"(?U)^\s+|\s+$", "")
+    return F.trim(_c(word), F.lit(fixed.WHITE_SPACE))
 
 
 def collapse_spaces(text: ColumnOrName) -> Column:

@@ -66,12 +66,13 @@ def sorted_runs(df: DataFrame, *order: Column) -> DataFrame:
     """``df`` in ranges of ``order``, with ``_run`` (number of the range, ascending with the order) and ``_at``
     (ascending in the range by steps of one).
 
-    The input is evaluated once: Spark sorts it by ranges, and the ranges are written and read again, which freezes both
-    columns. A range is one task's share whatever a key's weight: the place of a row in the input is the last sort key,
+    The input is evaluated once: it is written first, since Spark reads a range sort's input twice, to sample its keys
+    and to deal it out. The ranges are written and read again, which freezes both columns. A range is one task's share whatever a key's weight: the place of a row in the input is the last sort key,
     so equal keys spread over ranges. Consumers combine ranges by tables of one row per range (and group).
     """
     keys = [*order, F.col("_tie")]
-    runs = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    once = write_table(df.withColumn("_tie", F.monotonically_increasing_id()), "unsorted")
+    runs = once.repartitionByRange(*keys).sortWithinPartitions(*keys)
     return write_table(runs.drop("_tie").withColumn("_run", F.spark_partition_id())
                        .withColumn("_at", F.monotonically_increasing_id()), "runs")
 

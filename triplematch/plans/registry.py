@@ -33,5 +33,5 @@ def register(name: str, ops: str, oracle: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # Importing the plan modules fills the registry.
-    from triplematch.plans import dialogue, evaluation, bio, dependency, corpus, readers  # noqa: F401
+    from triplematch.plans import annotation, bio, corpus, dependency, dialogue, evaluation, readers  # noqa: F401
     return REGISTRY
