@@ -11,6 +11,8 @@ row-local expression (no shuffle); the reports are two-phase aggregations over t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from triplematch.functions.text import _c, let, lower_words, pseudo_triples, tri
 from triplematch.operators.windows import next_order
 
 ColumnOrName = Column | str
+Align = Callable[[Column, Column], Column]
 
 
 # ---------------------------------------------------------------- pairing
@@ -83,16 +86,17 @@ def _elements(triples: Column) -> Column:
     return F.transform(F.flatten(triples), lambda e: whitespace_words(e))
 
 
-def score_v1(q_triples: ColumnOrName, a_triples: ColumnOrName, apply_punish: bool = True) -> Column:
-    """Mean over question triples of the best T1 against any answer triple; then F6."""
+def score_v1(q_triples: ColumnOrName, a_triples: ColumnOrName, apply_punish: bool = True, align: Align = soft_align) -> Column:
+    """Mean over question triples of the best T1 against any answer triple; then F6.
+    ``align`` is T1 over the two word lists (H6: ``vectors.table_align`` looks similarities up)."""
     q, a = _c(q_triples), _c(a_triples)
     best = F.transform(q, lambda t1: let(triple_words(t1), lambda w1: _strict_max(
-        F.transform(a, lambda t2: soft_align(w1, triple_words(t2))))))
+        F.transform(a, lambda t2: align(w1, triple_words(t2))))))
     res = F.when((F.size(q) > 0) & (F.size(a) > 0), _mean(best))
     return punish(res) if apply_punish else res
 
 
-def _score_elements(e1: Column, e2: Column) -> Column:
+def _score_elements(e1: Column, e2: Column, align: Align) -> Column:
     """Best match per question element, keep the top min(n1, n2), mean.
 
     Elements repeat (a fallback triple is one element per word), so the best match is computed
@@ -104,7 +108,7 @@ def _score_elements(e1: Column, e2: Column) -> Column:
     def body(s: Column) -> Column:
         d1, d2 = s["d1"], s["d2"]
         best = F.transform(d1, lambda x: let(lower_words(F.array_join(x["t"], " ")), lambda w1: F.struct(
-            _strict_max(F.transform(d2, lambda y: soft_align(w1, lower_words(F.array_join(y, " "))))).alias("v"),
+            _strict_max(F.transform(d2, lambda y: align(w1, lower_words(F.array_join(y, " "))))).alias("v"),
             x["c"].alias("c"))))
         k = F.least(s["n1"], s["n2"])
         return let(best, lambda bs: F.when(F.exists(bs, lambda x: x["v"].isNull()), F.lit(None).cast("double"))
@@ -115,47 +119,62 @@ def _score_elements(e1: Column, e2: Column) -> Column:
     return F.when((F.size(e1) > 0) & (F.size(e2) > 0), let(bound, body))
 
 
-def score_v2(q_triples: ColumnOrName, a_triples: ColumnOrName, apply_punish: bool = True) -> Column:
+def score_v2(q_triples: ColumnOrName, a_triples: ColumnOrName, apply_punish: bool = True, align: Align = soft_align) -> Column:
     """Element-level alignment of the flattened triples; then F6."""
-    res = _score_elements(_elements(_c(q_triples)), _elements(_c(a_triples)))
+    res = _score_elements(_elements(_c(q_triples)), _elements(_c(a_triples)), align)
     return punish(res) if apply_punish else res
 
 
 def score_v3(q_triples: ColumnOrName, a_triples: ColumnOrName, q_words: ColumnOrName, a_words: ColumnOrName,
-             apply_punish: bool = True) -> Column:
+             apply_punish: bool = True, align: Align = soft_align) -> Column:
     """v2, but when either side has no triple, T1 of the two raw word lists; then F6."""
     q, a = _c(q_triples), _c(a_triples)
-    raw = soft_align(lower_words(F.array_join(_c(q_words), " ")), lower_words(F.array_join(_c(a_words), " ")))
-    res = F.when((F.size(q) == 0) | (F.size(a) == 0), raw).otherwise(_score_elements(_elements(q), _elements(a)))
+    raw = align(lower_words(F.array_join(_c(q_words), " ")), lower_words(F.array_join(_c(a_words), " ")))
+    res = F.when((F.size(q) == 0) | (F.size(a) == 0), raw).otherwise(_score_elements(_elements(q), _elements(a), align))
     return punish(res) if apply_punish else res
 
 
 def score_pairs(df: DataFrame, q: str = "q_triples", a: str = "a_triples", mode: str = "v1",
                 q_words: str | None = None, a_words: str | None = None, gate: str | None = None,
-                out: str = "score") -> DataFrame:
+                out: str = "score", vectors: DataFrame | None = None, key: list[str] | None = None) -> DataFrame:
     """Score every row's answer triples against its question triples.
 
+    H6: with ``vectors`` (``word, v`` of length 1) words that both have a vector compare by cosine, all others by edit
+    distance; ``key`` then names the columns that identify a row.
+
     ``mode``: ``v1`` (A7), ``v2`` (A8), ``v3`` (A9, needs ``q_words``/``a_words``).
     ``gate`` (P6): ``"empty"`` -> -1 when every answer element is empty; ``"long"`` -> 0 when the
     first answer triple has more than three elements (a fallback triple); ``None`` -> no gate.
     """
-    if mode == "v1":
-        s = score_v1(q, a)
-    elif mode == "v2":
-        s = score_v2(q, a)
-    elif mode == "v3":
-        if q_words is None or a_words is None:
-            raise ValueError("mode v3 needs q_words and a_words")
-        s = score_v3(q, a, q_words, a_words)
-    else:
+    def scored(align: Align) -> Column:
+        if mode == "v1":
+            return score_v1(q, a, align=align)
+        if mode == "v2":
+            return score_v2(q, a, align=align)
+        return score_v3(q, a, q_words, a_words, align=align)
+
+    if mode not in ("v1", "v2", "v3"):
         raise ValueError(f"unknown mode {mode!r}")
+    if mode == "v3" and (q_words is None or a_words is None):
+        raise ValueError("mode v3 needs q_words and a_words")
+    if vectors is None:
+        s = scored(soft_align)
+    else:
+        from triplematch.operators.vectors import score_with_vectors
+
+        def side(triples: str, words: str | None) -> Column:
+            own = F.flatten(F.col(triples))
+            return F.flatten(F.transform(F.concat(own, F.col(words)) if mode == "v3" else own, lower_words))
+
+        s, plain = F.col("_score"), df.columns
+        df = score_with_vectors(df, key, side(q, q_words), side(a, a_words), vectors, scored, "_score").select(*plain, "_score")
     if gate == "empty":
         s = F.when(F.forall(F.flatten(F.col(a)), lambda e: e == ""), F.lit(-1.0)).otherwise(s)
     elif gate == "long":
         s = F.when(F.coalesce(F.size(F.try_element_at(F.col(a), F.lit(1))), F.lit(0)) > 3, F.lit(0.0)).otherwise(s)
     elif gate is not None:
         raise ValueError(f"unknown gate {gate!r}")
-    return df.withColumn(out, s)
+    return df.withColumn(out, s).drop("_score") if out != "_score" else df.withColumn(out, s)
 
 
 def with_fallback(df: DataFrame, triples: str, text: str, out: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from triplematch.operators import scoring
 from triplematch.plans import sqlfrag as q
 from triplematch.plans import tagging
 from triplematch.plans.registry import register
-from triplematch.session import table
+from triplematch.session import table, write_table
 
 
 def _empty_triples():
@@ -206,9 +206,11 @@ FROM s GROUP BY system
 def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = extracted_pairs(spark, sf_dir)
     fb = (F.col("q_triples_is_fallback") | F.col("a_triples_is_fallback")).alias("fallback")
-    v1 = scoring.score_pairs(pairs, mode="v1").select(F.lit("v1").alias("system"), "score", fb)
-    v2 = scoring.score_pairs(pairs, mode="v2").select(F.lit("v2").alias("system"), "score", fb)
-    return scoring.score_summary(v1.unionByName(v2), by=["system"], fallback="fallback")
+    # one row holds both scores, so the triples are extracted and paired once
+    both = scoring.score_pairs(scoring.score_pairs(pairs, mode="v1", out="v1"), mode="v2", out="v2").select("v1", "v2", fb)
+    one = F.explode(F.array(*[F.struct(F.lit(m).alias("system"), F.col(m).alias("score")) for m in ("v1", "v2")]))
+    return scoring.score_summary(both.select(one.alias("s"), "fallback").select("s.system", "s.score", "fallback"),
+                                 by=["system"], fallback="fallback")
 
 
 # ---------------------------------------------------------------- word vectors (embeddings table)
@@ -220,7 +222,7 @@ def conversation_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     words = table(spark, sf_dir, "conversations").select(F.explode(lower_words("text")).alias("word"))
     vocab = vectors.vocabulary(words)
-    return vectors.vectors_from_embeddings(vocab, table(spark, sf_dir, "embeddings"))
+    return write_table(vectors.vectors_from_embeddings(vocab, table(spark, sf_dir, "embeddings")), "vectors")
 
 
 def _vectors_sql() -> str:
@@ -266,10 +268,55 @@ def dialogue_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pairs = scoring.pair_turns(table(spark, sf_dir, "conversations"))
     pairs = pairs.select("conv_id", "turn", lower_words("q").alias("qw"), lower_words("a").alias("aw"))
-    tok = vectors.attach_vectors(pairs, ["conv_id", "turn"], ["qw", "aw"], conversation_vectors(spark, sf_dir))
-    tok = scoring.spread_for_scoring(tok, "conv_id", "turn")
-    s = punish(vectors.soft_align_vectors("qw_tok", "aw_tok"))
-    return tok.select("conv_id", "turn", F.round(s, 6).alias("score"))
+    scored = vectors.score_with_vectors(pairs, ["conv_id", "turn"], F.col("qw"), F.col("aw"), conversation_vectors(spark, sf_dir),
+                                        lambda align: punish(align(F.col("qw"), F.col("aw"))), "score")
+    return scored.select("conv_id", "turn", F.round("score", 6).alias("score"))
+
+
+# The extracted triples scored with vectors (H6 in A7-A9). The oracle looks both words up for every word pair.
+
+
+def _vector_scores_sql(score: str, fallback: bool = True) -> str:
+    uv = "list_transform(embedding, lambda e_: CAST(e_ AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda z_: CAST(z_ AS DOUBLE) * CAST(z_ AS DOUBLE)))))"
+    pair = q.sim("@x", "@y")
+    looked_up = score
+    for tag in ("v1", "v2", "raw"):
+        x, y = f"x{tag}_", f"y{tag}_"
+        edit = pair.replace("@x", x).replace("@y", y)
+        looked_up = looked_up.replace(edit, f"(CASE WHEN vm[{x}] IS NOT NULL AND vm[{y}] IS NOT NULL THEN list_dot_product(vm[{x}], vm[{y}]) ELSE {edit} END)")
+    return f"""
+    WITH {_extracted_sql(fallback)},
+    vw AS (SELECT DISTINCT unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w_: w_ <> '')) AS word FROM conversations),
+    vocab AS (SELECT word, row_number() OVER (ORDER BY word) AS word_index FROM vw),
+    vm AS MATERIALIZED (
+      SELECT map(list(translate(word, '{q.ACCENTED}', '{q.STAND_INS}') ORDER BY word), list({uv} ORDER BY word)) AS vm
+      FROM vocab JOIN embeddings e ON e.vec_id + 1 = word_index)
+    SELECT conv_id, turn, round({q.punish(looked_up)}, 6) AS score FROM xpairs, vm"""
+
+
+def _vector_scores(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    df, extra = extracted_pairs(spark, sf_dir, fallback=mode != "v3"), {}
+    if mode == "v3":
+        df = df.withColumn("q_words", tagging_words("q")).withColumn("a_words", tagging_words("a"))
+        extra = {"q_words": "q_words", "a_words": "a_words"}
+    df = scoring.score_pairs(df, mode=mode, vectors=conversation_vectors(spark, sf_dir), key=["conv_id", "turn"], **extra)
+    return df.select("conv_id", "turn", F.round("score", 6).alias("score"))
+
+
+@register("dialogue_vectors_v1", "H6 A7 F4 J4 J6", _vector_scores_sql(_sql_v1("qtr", "atr")))
+def dialogue_vectors_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_scores(spark, sf_dir, "v1")
+
+
+@register("dialogue_vectors_v2", "H6 A8 F4 J4 J7", _vector_scores_sql(_sql_v2("qtr", "atr")))
+def dialogue_vectors_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_scores(spark, sf_dir, "v2")
+
+
+@register("dialogue_vectors_v3", "H6 A9 F4 J4", _vector_scores_sql(
+    f"CASE WHEN len(qtr) = 0 OR len(atr) = 0 THEN {q.t1(q.words('q'), q.words('a'), tag='raw')} ELSE {_sql_v2('qtr', 'atr')} END", False))
+def dialogue_vectors_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_scores(spark, sf_dir, "v3")
 
 
 # ---------------------------------------------------------------- triple files (K1 -> S15)
