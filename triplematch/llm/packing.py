@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from triplematch.llm.common import id_text
 
-#: Bytes of chunks and their ids that a worker remembers; a full memory is emptied, and all of it when the task ends.
-#: It changes no result.
-MEMORY = 48 << 20
+#: Bytes of chunks and their ids that a worker remembers, in each of two generations: a full one becomes the older and
+#: the one before it is dropped, so chunks in use stay. It changes no result.
+MEMORY = 40 << 20
 #: Bytes that Python holds for an entry besides its text and ids: two objects and its share of the table.
 ENTRY = 190
 #: Penalty, in tokens of padding, for a cut at a sentence end inside a document, and for a cut inside a sentence.
@@ -52,7 +52,8 @@ class Encoder:
                                       special_tokens={})
         self._load, self._full = (lambda: Tokenizer.from_file(path)), None
         self.memory: dict[str, bytes] = {}
-        self.held = 0                                        # bytes of the memory
+        self.older: dict[str, bytes] = {}
+        self.held = 0                                        # bytes of the younger memory
         #: ids that end a sentence: their bytes end in a full stop, question or exclamation mark, or hold a line end
         self.ends = np.zeros(max(table.values()) + 2, bool)
         for b, i in table.items():
@@ -86,10 +87,6 @@ class Encoder:
             if c not in self.memory:
                 self.memory[c] = np.array(self.fast.encode_ordinary(c), np.uint16).tobytes()
 
-    def forget(self) -> None:
-        self.memory.clear()
-        self.held = 0
-
     def batch(self, texts: list[str], group: int = 64) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
         for g in range(0, len(texts), group):
@@ -100,9 +97,13 @@ class Encoder:
             new = {c for chunks in cut if chunks for c in chunks if c not in memory}
             if new:
                 if self.held > MEMORY:                # full: start again with what this group needs
-                    self.forget()
+                    self.older, self.memory, self.held = memory, {}, 0
+                    memory = self.memory
                     new = {c for chunks in cut if chunks for c in chunks}
-                self._learn(sorted(new))
+                older = self.older
+                known = {c: older[c] for c in new if c in older}
+                memory.update(known)
+                self._learn(sorted(new - known.keys()))
                 self.held += sum(ENTRY + 2 * len(c) + len(memory[c]) for c in new)
             for text, chunks in zip(part, cut):
                 if chunks is None:
@@ -115,7 +116,7 @@ _ENCODERS: dict[tuple, Encoder] = {}
 
 
 def encoder(path: str | None, ranks: str | None) -> Encoder:
-    """One encoder per worker process: what the vocabulary files say, and a memory that each task empties."""
+    """One encoder per worker process: what the vocabulary files say, and a memory of bounded size."""
     if (path, ranks) not in _ENCODERS:
         _ENCODERS[path, ranks] = Encoder(path, ranks)
     return _ENCODERS[path, ranks]
@@ -265,24 +266,21 @@ def pack(docs: DataFrame, size: int = 1024, block: int = 128, with_ids: bool = F
             out.clear()
             return batch
 
-        try:
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for doc, ids in zip(batch.column(0).to_pylist(), enc.batch(texts)):
-                    ids = np.append(ids, np.uint16(0))
-                    total = len(ids)
-                    for a in range(0, total, goal):             # a very long document enters in parts
-                        part = ids[a:a + goal]
-                        held.append((doc, a, total, part))
-                        held_n += len(part)
-                        if held_n >= goal:
-                            plan(False)
-                yield flush()
-            if held:
-                plan(True)
-                yield flush()
-        finally:
-            enc.forget()
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.batch(texts)):
+                ids = np.append(ids, np.uint16(0))
+                total = len(ids)
+                for a in range(0, total, goal):             # a very long document enters in parts
+                    part = ids[a:a + goal]
+                    held.append((doc, a, total, part))
+                    held_n += len(part)
+                    if held_n >= goal:
+                        plan(False)
+            yield flush()
+        if held:
+            plan(True)
+            yield flush()
 
     rows = id_text(docs).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return rows.mapInArrow(run, schema)
