@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from triplematch.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
-from triplematch.llm.common import crc_mod, documents, shared_folder, table
+from triplematch.llm.common import crc_mod, documents, fresh, own_columns, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources replicated to the square root of their natural shares, globally shuffled; columns of documents."""
-    return mixing.mix(docs).select(*docs.columns)
+    key = fresh(docs, "_order")                      # a column of the caller's that is named like one of the mix stays
+    own = docs.withColumnRenamed("order_key", key)
+    return mixing.mix(own, copy=fresh(docs, "_copy")).drop("order_key").withColumnRenamed(key, "order_key").select(*own_columns(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,3 +148,25 @@ def test_toxicity_training_edges(spark, make_docs):
     assert 0 <= model.scores(["moron"])[0] < 0.7
     empty = toxicity.train(make_docs([]), labels.limit(0), F.lit(True))
     assert empty.scores([None, "moron"])[0] < 0.7
+
+
+def test_numbers_are_no_letters():
+    model = language_id.Model.__new__(language_id.Model)
+    model.languages = ["xx"]
+    assert [model.predict(t)[0] for t in ("½ ² Ⅷ ٣ _ 12", None, "")] == ["und"] * 3
+
+
+def test_many_spared_phrases_are_swept_once():
+    import time
+    m = toxicity.Model({" scum ": 2.0}, [" pond scum "])
+    assert m.features("pond scum scum pond scum")[1] == pytest.approx(np.log1p(2.0))
+    text = "pond scum " * 100_000 + "scum"
+    began = time.time()
+    assert m.features(text)[1] == pytest.approx(np.log1p(2.0)) and time.time() - began < 20
+
+
+def test_conflicting_labels_count_as_toxic(spark):
+    docs = spark.createDataFrame([(i, f"vile scum here n{i}" if i % 2 else f"a nice day n{i}") for i in range(40)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(40)] + [(i, 0) for i in range(40)]
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    assert model.lexicon and model.scores(["vile scum here", "a nice day"])[0] > 0.7

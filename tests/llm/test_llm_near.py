@@ -259,3 +259,15 @@ def test_pipeline_stages_on_an_empty_table(spark):
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns == docs.columns and out.collect() == []
     assert cp.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").collect() == []
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+    cols = ["_source", "_pieces", "_cdf", "copy", "order_key", "a.b", "_sha"]
+    rows = [(i, f"text {i // 2} of some words here", "web" if i % 3 else "books", *(f"{c}{i}" for c in cols)) for i in range(40)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *cols])
+    want = {r[0]: r for r in rows}
+    for stage in (corpus_pipeline.mix_sources, corpus_pipeline.drop_exact_copies, corpus_pipeline.drop_near_copies):
+        out = stage(spark, docs, "")
+        got = out.collect()
+        assert out.columns == docs.columns and got and all(tuple(r) == want[r.doc_id] for r in got)

@@ -72,6 +72,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` by name, whatever the names hold (dots, back quotes)."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def bitmap_array(bitmap: DataFrame) -> np.ndarray:
+    """The bits of :func:`member_bitmap` as one array of fixed size (16 MB), for tests inside Python tasks."""
+    out = np.zeros((BITMAP_BUCKETS, BITMAP_BITS // 8), np.uint8)
+    for bucket, bits in bitmap.collect():
+        out[bucket] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def is_member(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit ``hashes`` may be among those of the bitmap (never a false no)."""
+    at = hashes.view(np.uint64) & np.uint64(BITMAP_BUCKETS * BITMAP_BITS - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def member_bitmap(hashes: DataFrame, col: str) -> DataFrame:
     """(bucket int, bits binary): a one-hash Bloom filter of the long column ``col``, of fixed size.
 

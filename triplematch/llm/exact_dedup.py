@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triplematch.llm.common import BLANKS, cut, fresh, id_text, maybe_member, member_bitmap
+from triplematch.llm.common import BLANKS, cut, fresh, id_text, maybe_member, member_bitmap, own_columns
 
 
 def normalised(text: Column) -> Column:
@@ -75,7 +75,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     key = fresh(docs, "_sha")
     keyed = docs.withColumn(key, text_digest(F.coalesce(F.col("text"), F.lit(""))))
     stay = verdicts.filter("kept").select("doc_id", F.col("text_sha256").alias(key))
-    return keyed.join(stay, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns)
+    return keyed.join(stay, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key]).select(*own_columns(docs))
 
 
 ORACLE = r"""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triplematch.llm.common import cut, fresh, gram_hashes, id_text, maybe_member, member_bitmap, word_hashes
+from triplematch.llm.common import cut, fresh, gram_hashes, id_text, maybe_member, member_bitmap, own_columns, word_hashes
 from triplematch.operators.windows import number_sorted
 
 SKETCH_BITS = 20     # the shingle frequency sketch has 2^20 counters, a fixed size of 4 MB
@@ -282,7 +282,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     repeated = cut(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if repeated.isEmpty():
         stay = jaccard_components(docs, words, percent).filter("doc_id = component_id").select("doc_id")
-        return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+        return docs.join(stay, "doc_id", "left_semi").select(*own_columns(docs))
     sha, node = fresh(docs, "_sha"), fresh(docs, "_node")
     keyed = docs.filter("doc_id IS NOT NULL").withColumn(sha, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
     texts = keyed.join(repeated, "doc_id", "left_semi").select("doc_id", sha).distinct()
@@ -295,7 +295,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     own = found.join(others.select(node, F.col("doc_id").alias("_own")), node, "left")
     stay = own.groupBy("component_id").agg(F.min(F.struct(F.coalesce("_own", node).alias("id"), F.col(node))).alias("least"))
     kept = named.join(stay.select(F.col(f"least.{node}").alias(node)), node, "left_semi")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [x for c, x in zip(docs.columns, own_columns(docs)) if c not in ("doc_id", "text")]
     order = F.sha2(F.to_json(F.struct(*rest)), 256) if rest else F.lit("")
-    return (kept.groupBy(node).agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
+    return (kept.groupBy(node).agg(F.min_by(F.struct(*own_columns(docs)), order).alias("_row"))
             .select("_row.*").select(*docs.columns))

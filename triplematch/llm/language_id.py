@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +16,6 @@ DIM = 16
 PER_LANGUAGE = 1200    # expected bound of training documents per language (whole texts)
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)             # ASCII letters to lower case, other ASCII to blank
 _FOLD[:128] = 32
 for _c in range(26):
@@ -52,7 +50,7 @@ class Model:
     reject_below: float
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not self.languages or text is None or not _LETTER.search(text):
+        if not self.languages or text is None or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, False
         counts = np.bincount(subwords(text), minlength=BUCKETS)
         used = np.flatnonzero(counts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triplematch.llm.common import cut
+from triplematch.llm.common import cut, fresh, own_columns
 
 #: One inversion table covers a mean of at most this; a larger mean is a sum of independent draws.
 PIECE = 8.0
@@ -58,8 +58,9 @@ def poisson_tables(rates: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0,
-        seed: int = 17) -> DataFrame:
-    """Every column of ``docs`` (with ``doc_id``, ``text``, ``source``), replicated; plus ``copy`` and ``order_key``.
+        seed: int = 17, copy: str = "copy") -> DataFrame:
+    """Every column of ``docs`` (with ``doc_id``, ``text``, ``source``), replicated; plus ``copy`` (the number of the copy,
+    under another name if ``copy`` says so) and ``order_key``.
 
     A document of source s appears Poisson(rate_s) times: the count inverts the Poisson distribution at a uniform
     number hashed from (seed, doc_id), so a recomputed task draws the same. ``order_key`` hashes (seed, doc_id,
@@ -71,21 +72,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     Null texts have no characters but are replicated like their source. Rows without a doc_id are left out. Rows
     that repeat a doc_id draw the same count. Columns ``copy`` and ``order_key`` of the input are replaced.
     """
-    rows = docs.filter(F.col("doc_id").isNotNull()).drop("copy", "order_key")
+    rows = docs.filter(F.col("doc_id").isNotNull()).drop(copy, "order_key")
+    source, pieces, cdf = (fresh(rows, n) for n in ("_source", "_pieces", "_cdf"))
     tables = poisson_tables(source_rates(rows, weights, temperature, epochs)).select(
-        F.col("source").alias("_source"), F.col("pieces").alias("_pieces"), F.col("cdf").alias("_cdf"))
+        F.col("source").alias(source), F.col("pieces").alias(pieces), F.col("cdf").alias(cdf))
     if tables.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         tables = F.broadcast(tables)
-    d = rows.join(tables, F.col("source").eqNullSafe(F.col("_source")))
+    d = rows.join(tables, F.col("source").eqNullSafe(F.col(source)))
     draw = F.aggregate(
-        F.sequence(F.lit(1), F.col("_pieces")), F.lit(0),
-        lambda acc, i: acc + F.size(F.filter(F.col("_cdf"), lambda c: c <= uniform(
+        F.sequence(F.lit(1), F.col(pieces)), F.lit(0),
+        lambda acc, i: acc + F.size(F.filter(F.col(cdf), lambda c: c <= uniform(
             F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), i.cast("string"))))))
     copies = F.transform(F.array_repeat(F.lit(True), draw), lambda _, i: (i + 1).cast("long"))
-    d = d.withColumn("copy", F.explode(copies))
+    d = d.withColumn(copy, F.explode(copies))
     d = d.withColumn("order_key", F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("doc_id").cast("string"),
-                                                    F.col("copy").cast("string"))))
-    return (d.select(*rows.columns, "copy", "order_key")
+                                                    F.col(copy).cast("string"))))
+    return (d.select(*own_columns(rows), copy, "order_key")
             .repartition(F.col("order_key")).sortWithinPartitions("order_key"))
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplematch.llm.common import id_text, maybe_member, member_bitmap, mix64, powers, store, word_hashes, word_spans
+from triplematch.llm.common import bitmap_array, id_text, is_member, maybe_member, member_bitmap, mix64, powers, store, word_hashes, word_spans
 
 _MUL = 0x9FB21C651E98DF25
 _PRIME = (1 << 31) - 1
@@ -114,15 +114,19 @@ def core_counts(rows: DataFrame, k: int, core: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "core long, n long").groupBy("core").agg(F.sum("n").alias("n"))
 
 
-def path_rows(rows: DataFrame, k: int, core: int, with_kmers: bool = False) -> DataFrame:
+def path_rows(rows: DataFrame, k: int, core: int, with_kmers: bool = False, keep: np.ndarray | None = None) -> DataFrame:
     """One row per path of (doc_id, row, text): doc_id, row, start, core, size, path and proof (64-bit hashes of its words,
-    by the two hashes of a word), twice (it may hold a k-mer twice); or doc_id, row, start, core, kmers, proofs."""
+    by the two hashes of a word), twice (it may hold a k-mer twice); or doc_id, row, start, core, kmers, proofs.
+
+    With ``keep``, a bitmap of cores, paths whose core is certainly not among them are left out before they are hashed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, row, text in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode("utf-8", "replace")
                 words = word_hashes(raw)
                 start, size, least, twice = paths(words, k, core)
+                if keep is not None and len(start):
+                    start, size, least, twice = (x[hits] for hits in [is_member(keep, least)] for x in (start, size, least, twice))
                 if not len(start):
                     continue
                 n, second = len(start), word_proofs(raw)
@@ -150,7 +154,7 @@ def repeated_kmers(rows: DataFrame, k: int, core: int) -> DataFrame:
     """(doc_id, row, start, size, later): the paths that hold a k-mer which also starts earlier (smaller doc_id, or the
     same document and a smaller position). ``later`` lists the places of those k-mers in the path, null: all."""
     seen = core_counts(rows, k, core).filter("n > 1")
-    walks = store(maybe_member(path_rows(rows, k, core), "core", member_bitmap(seen, "core"), how="keep"), "walks")
+    walks = store(path_rows(rows, k, core, keep=bitmap_array(member_bitmap(seen, "core"))), "walks")
     # Copies of a path compact into one, with the coordinates of its first source.
     unique = store(walks.groupBy("core", "path", "proof").agg(
         F.min(F.struct("doc_id", "row", "start")).alias("src"), F.count(F.lit(1)).alias("copies"), F.max("twice").alias("twice"))

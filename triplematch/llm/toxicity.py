@@ -83,7 +83,14 @@ class Model:
                     spared.append((start, end))
                 else:
                     found[start] = max(w, found.get(start, 0.0))
-            total = sum(w for at, w in found.items() if not any(a <= at < z for a, z in spared))
+            total = 0.0
+            sweep, reach = iter(sorted(spared)), -1            # spared phrases by start, and how far those begun reach
+            begun = next(sweep, None)
+            for at, w in sorted(found.items()):
+                while begun and begun[0] <= at:
+                    reach, begun = max(reach, begun[1]), next(sweep, None)
+                if at >= reach:
+                    total += w
         words = s.count(" ") - 1
         return 1.0, float(np.log1p(total)), float(np.log1p(100 * total / (max(words, 0) + 10)))
 
@@ -170,14 +177,15 @@ def fit(texts: list[str], labels: list[int], min_odds: float = 2.0) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> Model:
-    """A model from the labelled rows where ``learn`` (of doc_id) holds.
+    """A model from the labelled rows where ``learn`` (of doc_id) holds. A doc_id labelled both ways is toxic.
 
     Training rows are a sample: about ``per_class`` documents of each label, picked by a hash of doc_id (all if
     there are fewer), with whole texts. The labels table is narrow and is sampled before it meets the texts; the
     sample is bounded by ``per_class``, which is why its ids may be broadcast and one task may train.
     """
     lab = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
-           .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & learn).dropDuplicates(["doc_id"]))
+           .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & learn)
+           .groupBy("doc_id").agg(F.max("y").alias("y")))
     share = {r["y"]: per_class / r["count"] for r in lab.groupBy("y").count().collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = lab.filter((draw < F.lit(float(share.get(1, 0)))) & (F.col("y") == 1)
