@@ -8,6 +8,8 @@ step (token lines -> blocks), keyed by block id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +22,22 @@ def _role(label: Column) -> Column:
     return F.split(label, "-")[0]
 
 
-def decode_bio(words: ColumnOrName, labels: ColumnOrName, probs: ColumnOrName, legacy: bool = True) -> Column:
+def mean_prob(probs: Column) -> Column:
+    """The mean of an array of probabilities; NULL when there are none."""
+    return F.aggregate(probs, F.lit(0.0), lambda acc, x: acc + x) / F.when(F.size(probs) > 0, F.size(probs))
+
+
+def product_prob(probs: Column) -> Column:
+    return F.when(F.size(probs) > 0, F.aggregate(probs, F.lit(1.0), lambda acc, x: acc * x))
+
+
+def decode_bio(words: ColumnOrName, labels: ColumnOrName, probs: ColumnOrName, legacy: bool = True,
+               calc_prob: dict[str, Callable[[Column], Column]] | None = None) -> Column:
     """E1 + A6 over one block. Returns ``struct<args: array<string>, confidence: double>``.
 
+    H2: ``calc_prob`` maps names to builders that make a number from the array of the ``A`` tokens' probabilities; each
+    becomes a field of its own in place of ``confidence`` (default: ``{"confidence": mean_prob}``).
+
     Legacy: every maximal run of labels starting with ``A`` is one argument (a new ``-B`` or a role
     change does not split it), and a run that reaches the last token is not emitted, although its
     probabilities still count. ``legacy=False`` also splits on ``-B`` and on role changes and keeps
@@ -31,6 +46,8 @@ def decode_bio(words: ColumnOrName, labels: ColumnOrName, probs: ColumnOrName, l
     Runs are found as index arrays (run starts, run ends) with ``filter`` and paired with
     ``zip_with``: linear in the block length, no per-token accumulator.
     """
+    builders = calc_prob or {"confidence": mean_prob}
+
     def body(s: Column) -> Column:
         w, lab, pr = s["w"], s["l"], s["p"]
         n = F.size(lab)
@@ -52,25 +69,26 @@ def decode_bio(words: ColumnOrName, labels: ColumnOrName, probs: ColumnOrName, l
         if legacy:
             spans = F.filter(spans, lambda sp: sp["b"] < n)
         a_probs = F.filter(pr, lambda x, i: F.element_at(lab, i + 1).startswith("A"))
-        conf = let(a_probs, lambda ap: F.aggregate(ap, F.lit(0.0), lambda acc, x: acc + x)
-                   / F.when(F.size(ap) > 0, F.size(ap)))
-        return let(spans, lambda sp: F.struct(
+        conf = let(a_probs, lambda ap: F.struct(*[f(ap).alias(name) for name, f in builders.items()]))
+        return let(F.struct(spans.alias("sp"), conf.alias("conf")), lambda b: let(b["sp"], lambda sp: F.struct(
             F.transform(sp, lambda x: F.array_join(F.slice(w, x["a"], x["b"] - x["a"] + 1), " ")).alias("args"),
-            conf.alias("confidence"),
-            F.transform(sp, lambda x: F.sequence(x["a"] - 1, x["b"] - 1)).alias("arg_indices")))
+            *[b["conf"][name].alias(name) for name in builders],
+            F.transform(sp, lambda x: F.sequence(x["a"] - 1, x["b"] - 1)).alias("arg_indices"))))
 
     return let(F.struct(_c(words).alias("w"), _c(labels).alias("l"), _c(probs).alias("p")), body)
 
 
 def decode_blocks(blocks: DataFrame, legacy: bool = True, words: str = "words", labels: str = "labels",
-                  probs: str = "probs", pred_idx: str = "pred_idx") -> DataFrame:
-    """E1/E2 for a DataFrame of blocks: adds ``pred``, ``args``, ``confidence``; keeps blocks with >= 1 argument."""
+                  probs: str = "probs", pred_idx: str = "pred_idx",
+                  calc_prob: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """E1/E2 for a DataFrame of blocks: adds ``pred``, ``args``, ``confidence`` (or the columns that ``calc_prob`` names, H2);
+    keeps blocks with >= 1 argument."""
     # emitted by a generator: a filter on the projection would be pushed below it and decode twice
-    dec = F.filter(F.array(decode_bio(words, labels, probs, legacy)), lambda d: F.size(d["args"]) > 0)
+    dec = F.filter(F.array(decode_bio(words, labels, probs, legacy, calc_prob)), lambda d: F.size(d["args"]) > 0)
     out = (blocks.withColumn("_dec", F.explode(dec))
                  .withColumn("pred", F.element_at(F.col(words), F.col(pred_idx) + 1))
                  .withColumn("args", F.col("_dec.args"))
-                 .withColumn("confidence", F.col("_dec.confidence"))
+                 .withColumns({name: F.col(f"_dec.{name}") for name in calc_prob or ["confidence"]})
                  .withColumn("arg_indices", F.col("_dec.arg_indices"))
                  .drop("_dec"))
     return out
@@ -162,6 +180,56 @@ def one_hot(label: ColumnOrName, classes: list[str]) -> Column:
     return F.transform(F.array(*[F.lit(c) for c in classes]), lambda c: F.when(c == _c(label), 1.0).otherwise(0.0))
 
 
+def _ratio(num: Column, den: Column) -> Column:
+    return F.when(den > 0, num / den).otherwise(0.0)
+
+
+def label_precision() -> Column:
+    return _ratio(F.col("tp"), F.col("n_pred"))
+
+
+def label_recall() -> Column:
+    return _ratio(F.col("tp"), F.col("n_true"))
+
+
+def label_f1() -> Column:
+    return _ratio(2 * label_precision() * label_recall(), label_precision() + label_recall())
+
+
+#: Metric builders (H3): aggregates over one row per label with ``tp``, ``n_true`` and ``n_pred``.
+METRICS: dict[str, Callable[[], Column]] = {
+    "micro_f1": lambda: F.sum("tp") / F.sum("n_true"),
+    "macro_f1": lambda: F.avg(label_f1()),
+    "macro_precision": lambda: F.avg(label_precision()),
+    "macro_recall": lambda: F.avg(label_recall()),
+    "weighted_f1": lambda: F.sum(label_f1() * F.col("n_true")) / F.sum("n_true"),
+}
+
+
+def token_metrics(pairs: DataFrame, metrics: list[tuple[str, Callable[[], Column]]], y: str = "y", yhat: str = "yhat",
+                  consolidate: bool = True) -> DataFrame:
+    """H3: one row with a column per (name, builder), all from one confusion table.
+
+    A builder returns an aggregate over the labels' counts ``tp``, ``n_true``, ``n_pred`` (see :data:`METRICS`); a label
+    absent on one side has 0 there. Values are rounded to six digits.
+    """
+    per = label_counts(pairs, y, yhat, consolidate)
+    return per.agg(*[F.round(f(), 6).alias(name) for name, f in metrics])
+
+
+def label_counts(pairs: DataFrame, y: str = "y", yhat: str = "yhat", consolidate: bool = True) -> DataFrame:
+    """label, tp, n_true, n_pred: the confusion table (one aggregation with map-side partial counts) by label."""
+    yy = consolidate_label(y) if consolidate else F.col(y)
+    yh = consolidate_label(yhat) if consolidate else F.col(yhat)
+    conf = pairs.groupBy(yy.alias("y"), yh.alias("yhat")).agg(F.count(F.lit(1)).alias("n"))
+    sides = F.array(F.struct(F.col("y").alias("label"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p"),
+                             F.when(F.col("y") == F.col("yhat"), F.col("n")).otherwise(0).alias("hit")),
+                    F.struct(F.col("yhat").alias("label"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p"),
+                             F.lit(0).cast("long").alias("hit")))
+    return conf.select(F.explode(sides).alias("s")).groupBy(F.col("s.label").alias("label")).agg(
+        F.sum("s.hit").alias("tp"), F.sum("s.t").alias("n_true"), F.sum("s.p").alias("n_pred"))
+
+
 def token_f1(pairs: DataFrame, y: str = "y", yhat: str = "yhat", consolidate: bool = True) -> DataFrame:
     """Token-level micro F1 (= accuracy) and macro F1 over consolidated labels.
 
@@ -194,6 +262,15 @@ def argmax_label(probs: ColumnOrName, classes: list[str]) -> Column:
                     best["p"].alias("prob"))
 
 
+def top_classes(probs: ColumnOrName, n: int, classes: list[str] | None = None) -> Column:
+    """The ``n`` most probable classes as ``array<struct<label, prob>>``, falling, first class on ties; with ``classes``
+    the label is the class's name, else its 0-based number. Fewer classes than ``n`` give all of them."""
+    ranked = F.slice(F.sort_array(F.transform(_c(probs), lambda p, i: F.struct(p.alias("p"), (-i).alias("ni"))), asc=False), 1, n)
+    names = F.array(*[F.lit(c) for c in classes]) if classes else None
+    return F.transform(ranked, lambda t: F.struct(
+        (F.element_at(names, 1 - t["ni"]) if classes else -t["ni"]).alias("label"), t["p"].alias("prob")))
+
+
 def replay_predictions(sentences: DataFrame, stored: DataFrame, sent: str = "sent", preds: str = "preds") -> DataFrame:
     """Attach stored ``(pred, labels)`` lists to sentences by their space-joined text; a
     sentence without stored predictions gets an empty list (left join on the sentence text)."""

@@ -26,10 +26,27 @@ def _children(heads: Column, rels: Column, parent: Column, kinds: list[str]) ->
                     & F.element_at(rels, i).isin(*kinds))
 
 
-def _pointer(heads: Column, rels: Column, kinds: list[str], pick) -> Column:
-    """For every token k: the chosen child of k among ``kinds`` children, or 0 when it has none."""
-    return F.transform(F.sequence(F.lit(1), F.size(heads)),
-                       lambda k: F.coalesce(pick(_children(heads, rels, k, kinds)), F.lit(0)))
+def _pointer(heads: Column, rels: Column, kinds: list[str], last: bool) -> Column:
+    """For every token k: its first (or last) child among ``kinds`` children, or 0 when it has none.
+
+    The arcs of those kinds are sorted by (head, child) once; the first (last) arc of each head is kept, and zeros fill the
+    gaps between the heads. So the cost is that of a sort, not a scan of all tokens per token.
+    """
+    n = F.size(heads)
+    arcs = F.array_sort(F.filter(F.transform(heads, lambda h, i: F.struct(
+        F.when((h >= 1) & (h <= n) & F.get(rels, i).isin(*kinds), h).otherwise(0).alias("h"), (i + 1).alias("k"))), lambda a: a["h"] > 0))
+
+    def pick(a: Column) -> Column:
+        other = (lambda i: F.get(a, i + 1)) if last else (lambda i: F.get(a, i - 1))
+        return F.filter(a, lambda x, i: F.coalesce(F.when(i >= (0 if last else 1), other(i)["h"]), F.lit(0)) != x["h"])
+
+    def fill(one: Column) -> Column:
+        parts = F.transform(one, lambda x, i: F.concat(F.array_repeat(F.lit(0), x["h"] - 1 - F.when(
+            i > 0, F.get(one, i - 1)["h"]).otherwise(0)), F.array(x["k"])))
+        tail = F.array_repeat(F.lit(0), n - F.coalesce(F.get(one, F.size(one) - 1)["h"], F.lit(0)))
+        return F.when(F.size(one) == 0, F.array_repeat(F.lit(0), n)).otherwise(F.concat(F.flatten(parts), tail))
+
+    return let(let(arcs, pick), fill)
 
 
 def _walk(ptr: Column, start: Column) -> Column:
@@ -102,8 +119,8 @@ def arcs_triples(words: ColumnOrName, heads: ColumnOrName, rels: ColumnOrName, o
 
         def with_roots(rs: Column) -> Column:
             ptrs = let(F.try_element_at(rs, F.lit(1)), lambda root: F.struct(
-                _pointer(h, r, ["ATT", "SBV"], F.array_min).alias("att"),
-                _pointer(h, r, ["VOB"], F.array_max).alias("vob"), root.alias("root")))
+                _pointer(h, r, ["ATT", "SBV"], last=False).alias("att"),
+                _pointer(h, r, ["VOB"], last=True).alias("vob"), root.alias("root")))
             return F.when(F.size(rs) == 1, let(ptrs, with_ptrs))
 
         return let(roots, with_roots)
