@@ -101,3 +101,20 @@ def test_score_and_auc_lines(spark):
     assert sinks.score_lines(df, q="q", a="a").first().value == "0.5\ta|||b\tc"
     aucs = spark.createDataFrame([("sysA", 0.25)], "system string, auc double")
     assert sinks.auc_lines(aucs).first().value == "sysA\t0.25"
+
+
+def test_pairs_with_a_blank_side(spark, tmp_path):
+    path = tmp_path / "pairs.txt"
+    path.write_text("q0\ta0\n \ta1\nq2\t  \nq3\ta3\tmore\n")
+    rows = lambda **kw: [tuple(r) for r in readers.read_pairs(spark, str(path), **kw).orderBy("pair_id").collect()]
+    assert rows() == [(0, "q0", "a0"), (1, "", "a1"), (2, "q2", ""), (3, "q3", "a3")]
+    assert rows(drop_blank=True) == [(0, "q0", "a0"), (3, "q3", "a3")]
+    assert rows(drop_blank=True, exact=True) == [(0, "q0", "a0")]
+
+
+def test_element_text(spark):
+    from triplematch.functions.text import element_text
+
+    df = spark.sql("SELECT ' a b ' AS s, named_struct('text', ' a b\t', 'indices', array(1)) AS t, "
+                   "named_struct('words', array('a', 'b'), 'indices', array(1, 2)) AS g")
+    assert tuple(df.select(element_text("s"), element_text("t", "tuple"), element_text("g", "argument")).first()) == (" a b ", "a b", "a b")

@@ -119,6 +119,19 @@ def remove_stopwords(words: ColumnOrName) -> Column:
     return F.filter(_c(words), lambda w: ~F.lower(w).isin(*fixed.STOPWORDS_AND_PUNCT))
 
 
+def element_text(elem: ColumnOrName, kind: str = "string") -> Column:
+    """F8: the text of an extraction's element: a string as it is, a ``tuple`` (``struct<text, indices>``) as its trimmed
+    text, an ``argument`` (``struct<words, indices>``) as its words joined by single spaces."""
+    e = _c(elem)
+    if kind == "string":
+        return e
+    if kind == "tuple":
+        return trim_word(e["text"])
+    if kind == "argument":
+        return F.array_join(e["words"], " ")
+    raise ValueError(f"unknown kind of element {kind!r}")
+
+
 def normalize_element(elem: ColumnOrName) -> Column:
     """``_`` alone means empty; otherwise underscores become spaces."""
     e = _c(elem)

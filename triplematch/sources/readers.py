@@ -170,9 +170,10 @@ def read_sentences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pairs(spark: SparkSession, path: str, begin: int | None = None, end: int | None = None,
-               min_fields: int = 2, exact: bool = False) -> DataFrame:
+               min_fields: int = 2, exact: bool = False, drop_blank: bool = False) -> DataFrame:
     """S13 + P1 + P2: ``q \\t a`` lines (optionally lines begin <= i < end); rule variant needs exactly
-    two fields (``exact``), learned variant at least two; both sides stripped."""
+    two fields (``exact``), learned variant at least two; both sides stripped. ``drop_blank`` leaves out pairs with a
+    blank side (meant, but never done, by the reproduced scripts: off by default); the others keep their numbers."""
     d = read_lines(spark, path)
     if begin is not None:
         d = d.filter(F.col("line_no") >= begin)
@@ -181,7 +182,8 @@ def read_pairs(spark: SparkSession, path: str, begin: int | None = None, end: in
     f = F.split(F.col("value"), "\t")
     d = d.withColumn("f", f).filter((F.size("f") == 2) if exact else (F.size("f") >= min_fields))
     strip = lambda c: F.regexp_replace(c, r"^(?U)\s+|(?U)\s+$", "")
-    return d.select(F.col("line_no").alias("pair_id"), strip(F.col("f")[0]).alias("q"), strip(F.col("f")[1]).alias("a"))
+    d = d.select(F.col("line_no").alias("pair_id"), strip(F.col("f")[0]).alias("q"), strip(F.col("f")[1]).alias("a"))
+    return d.filter((F.col("q") != "") & (F.col("a") != "")) if drop_blank else d
 
 
 def cut_triples(text: Column | str, variant: str = "drop_empty") -> Column:
