@@ -18,7 +18,7 @@ from triplematch.llm.common import id_text
 
 #: Bytes of chunks and their ids that a worker remembers, in each of two generations: a full one becomes the older and
 #: the one before it is dropped, so chunks in use stay. It changes no result.
-MEMORY = 40 << 20
+MEMORY = 64 << 20
 #: Bytes that Python holds for an entry besides its text and ids: two objects and its share of the table.
 ENTRY = 190
 #: Penalty, in tokens of padding, for a cut at a sentence end inside a document, and for a cut inside a sentence.
@@ -104,7 +104,7 @@ class Encoder:
                 known = {c: older[c] for c in new if c in older}
                 memory.update(known)
                 self._learn(sorted(new - known.keys()))
-                self.held += sum(ENTRY + 2 * len(c) + len(memory[c]) for c in new)
+                self.held += ENTRY * len(new) + 4 * sum(map(len, new))    # an id stands for a character at least
             for text, chunks in zip(part, cut):
                 if chunks is None:
                     yield self._whole(text)
