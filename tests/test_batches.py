@@ -1,10 +1,12 @@
 """Blocks decoded, labelled and compared over Arrow batches: the same values as row by row, without interpreted lambdas."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from triplematch.operators import bio
+from triplematch.operators import bio, tagger
+from triplematch.operators import evaluate as ev
 from triplematch.plans import bio as bio_plan
 
 
@@ -50,3 +52,33 @@ def test_chunks_change_nothing(spark, tmp_path, monkeypatch):
 def test_last_blocks_keep_first_and_last_place():
     first, last = bio.last_blocks(pa.array(["a", "b", "a", "a"]), np.array([0, 0, 0, 1]))
     assert sorted(zip(first.tolist(), last.tolist())) == [(0, 2), (1, 1), (3, 3)]
+
+
+def test_matchers_agree_in_batches_and_rows(spark):
+    rows = [("a", ["b c d", "e f"], ["b c d e", "a"]), ("a", ["x"], ["y"]), ("a", ["a a a", "b b"], ["a a b", "b b a a"]), ("a", [], ["b"]),
+            ("ab", ["c d e f g"], ["c d e f g"])]
+    df = spark.createDataFrame(rows, "pred string, args array<string>, other array<string>")
+    ref, ex = F.struct("pred", "args"), F.struct("pred", F.col("other").alias("args"))
+    r, h = (F.split(ev.bow(x["pred"], x["args"]), " ") for x in (ref, ex))
+    got = df.select(ev.batch_coverage(r, h).alias("cov"), ev.batch_bleu(r, h).alias("bleu"), ev.arg_match(ref, ex, coverage=ev.batch_coverage).alias("arg"))
+    want = df.select(ev._coverage(r, h).alias("cov"), ev.bleu(r, h).alias("bleu"), ev.arg_match(ref, ex).alias("arg"))
+    for a, b in zip(got.collect(), want.collect()):
+        assert (round(a.cov, 12), round(a.bleu, 12), a.arg) == (round(b.cov, 12), round(b.bleu, 12), b.arg)
+
+
+def test_greedy_walk_takes_the_first_unused_match():
+    kind = pa.list_(pa.int32())
+    got = ev._assign(pa.array([[1, 2, 1, 1], [1]], kind), pa.array([[2, 1, 2], None], kind),
+                     pa.array([[[True, True], [False, True]], None], pa.list_(pa.list_(pa.bool_())))).to_pylist()
+    assert got == [{"taken": [0, 2, 1], "unused": [], "missed": [3]}, None]
+
+
+def test_windows_keep_every_token(spark):
+    def predict(batch):
+        return pd.DataFrame({"labels": [[str(v) for v in x] for x in batch["f"]], "probs": [[v / 2 for v in x] for x in batch["f"]]})
+
+    df = spark.createDataFrame([(1, list(range(1, 8))), (2, []), (3, [9])], "k long, f array<int>")
+    out = tagger.tag_sentences(df, predict, 3, ["f"], ["k"])
+    assert "MapInArrow" in _plan(out) and "lambdafunction" not in _plan(out)
+    assert [(r.k, r.labels, r.probs) for r in out.orderBy("k").collect()] == [
+        (1, [str(i) for i in range(1, 8)], [i / 2 for i in range(1, 8)]), (2, [], []), (3, ["9"], [4.5])]
