@@ -269,7 +269,7 @@ def dialogue_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = scoring.pair_turns(table(spark, sf_dir, "conversations"))
     pairs = pairs.select("conv_id", "turn", lower_words("q").alias("qw"), lower_words("a").alias("aw"))
     scored = vectors.score_with_vectors(pairs, ["conv_id", "turn"], F.col("qw"), F.col("aw"), conversation_vectors(spark, sf_dir),
-                                        lambda align: punish(align(F.col("qw"), F.col("aw"))), "score")
+                                        lambda best: punish(F.get(best(F.array("qw"), F.array("aw")), 0)), "score")
     return scored.select("conv_id", "turn", F.round("score", 6).alias("score"))
 
 
