@@ -32,3 +32,26 @@ def test_coordinated_objects_and_nearest_preceding_subject(spark):
     assert got[0] == (("g o", "w1", "to town"), 0, 2)
     # the COO item of the chain end: prefix [leftmost(item), first VOB) is empty, then [item, chain end]
     assert got[1] == (("g o", "w1", "city"), 0, 0)
+
+
+def test_long_sentence_and_cycle():
+    import time
+
+    from triplematch.functions.arcs import sentence_triples
+
+    n = 20_000
+    heads = [2, 0] + [i if i % 2 else 2 for i in range(2, n)]
+    rels = ["SBV", "HED"] + ["ATT" if i % 2 else "COO" for i in range(2, n)]
+    begin = time.time()
+    got = sentence_triples(["w"] * n, heads, rels)
+    assert time.time() - begin < 5 and len(got) == 1 + rels.count("COO")
+    # 3 and 4 head each other: a walk takes as many steps as the sentence has tokens
+    cyclic = sentence_triples(["a", "b", "c", "d"], [2, 0, 4, 3], ["SBV", "HED", "ATT", "ATT"])
+    assert [(t["rel"], t["e1"], t["e2"], t["e1_loc"], t["e2_loc"]) for t in cyclic] == [("b", "a", "", 0, None)]
+    assert sentence_triples(["a", "b"], [2, 1], ["ATT", "ATT"]) is None and sentence_triples(None, [0], ["HED"]) is None
+
+
+def test_rules_run_in_batches(spark):
+    df = spark.createDataFrame([(["a"], [0], ["HED"])], "w array<string>, h array<int>, r array<string>")
+    plan = df.select(dep.arcs_triples("w", "h", "r"))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "sequence" not in plan

@@ -3,29 +3,25 @@
 A parsed sentence is one row with 1-based aligned arrays ``words, heads, rels`` (the parser is an
 input, not part of the library). Every rule is evaluated inside the row:
 
-* child lookups (J10) are ``filter`` over the arc arrays;
-* the two closures (J11: follow the smallest ATT/SBV child, follow the largest VOB child) use a
-  per-sentence pointer array computed once, then an ``aggregate`` walk of at most n steps -- no
-  join per hop and no shuffle;
+* child lookups (J10) are one table of the sentence's arcs by head;
+* the two closures (J11: follow the smallest ATT/SBV child, follow the largest VOB child) keep the
+  end of every chain they walked, so a sentence costs its tokens and its output -- no join per hop
+  and no shuffle. Sentences come in Arrow batches (``functions.arcs``);
 * the global token offset of a sentence inside its text (W6) is an exclusive prefix sum.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triplematch.functions.arcs import sentence_triples
 from triplematch.functions.text import _c, let, spaced_chars
 
 ColumnOrName = Column | str
 
 
-def _children(heads: Column, rels: Column, parent: Column, kinds: list[str]) -> Column:
-    """Indices (1-based, ascending) of tokens whose head is ``parent`` with a relation in ``kinds``."""
-    return F.filter(F.sequence(F.lit(1), F.size(heads)), lambda i: (F.element_at(heads, i) == parent)
-                    & F.element_at(rels, i).isin(*kinds))
-
-
 def _pointer(heads: Column, rels: Column, kinds: list[str], last: bool) -> Column:
     """For every token k: its first (or last) child among ``kinds`` children, or 0 when it has none.
 
@@ -49,83 +45,24 @@ def _pointer(heads: Column, rels: Column, kinds: list[str], last: bool) -> Colum
     return let(let(arcs, pick), fill)
 
 
-def _walk(ptr: Column, start: Column) -> Column:
-    """Follow ``ptr`` from ``start`` until a token has no chosen child (J11 closure)."""
-    return F.aggregate(ptr, start, lambda cur, _x: F.when(F.element_at(ptr, cur) > 0, F.element_at(ptr, cur))
-                       .otherwise(cur))
-
-
-def _span(words: Column, lo: Column, hi: Column) -> Column:
-    """Words at 1-based positions lo..hi (empty when lo > hi)."""
-    return F.when(hi >= lo, F.slice(words, lo, hi - lo + 1)).otherwise(F.array().cast("array<string>"))
-
-
 def arcs_triples(words: ColumnOrName, heads: ColumnOrName, rels: ColumnOrName, offset: ColumnOrName | None = None,
                  spaced_relation: bool = True) -> Column:
     """X2-X7 for one sentence: ``array<struct<rel_pos, item, triple array<string>, e1_loc, e2_loc>>``,
     or NULL when the sentence does not have exactly one HED arc (the sentence is skipped)."""
-    w, h, r = _c(words), _c(heads), _c(rels)
     off = F.lit(0) if offset is None else _c(offset)
-
-    def body(s: Column) -> Column:
-        w, h, r = s["w"], s["h"], s["r"]
-        n = F.size(h)
-        roots = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(r, i) == "HED")
-
-        def with_ptrs(p: Column) -> Column:
-            att, vob, root = p["att"], p["vob"], p["root"]
-            relations = F.concat(F.array(root), _children(h, r, root, ["COO"]))
-
-            def per_relation(rel: Column, rel_pos: Column) -> Column:
-                sbv = _children(h, r, rel, ["SBV"])
-                before = F.filter(F.sequence(F.lit(1), F.greatest(rel - 1, F.lit(1))),
-                                  lambda i: (i < rel) & (F.element_at(h, i) == rel))
-                left = F.coalesce(F.try_element_at(sbv, F.lit(-1)), F.array_max(before))
-                rel_text = spaced_chars(F.element_at(w, rel)) if spaced_relation else F.element_at(w, rel)
-
-                def with_left(lv: Column) -> Column:
-                    left, e1_lo, right = lv["left"], lv["lo"], lv["right"]
-                    e1 = F.when(left.isNotNull(), _span(w, e1_lo, left)).otherwise(F.array().cast("array<string>"))
-                    e1_loc = F.when(left.isNotNull(), off + e1_lo - 1)
-
-                    def objects(o: Column) -> Column:
-                        first, right_ext = o["first"], o["ext"]
-                        return F.transform(o["items"], lambda item, k: let(_walk(att, item), lambda lo: F.struct(
-                            k.alias("item"),
-                            F.when(k == 0, _span(w, lo, right_ext)).otherwise(
-                                F.concat(_span(w, lo, first - 1), _span(w, item, _walk(vob, item)))).alias("words"),
-                            F.when(k == 0, off + lo - 1).otherwise(F.lit(0)).alias("loc"))))
-
-                    def bind_ext(fe: Column) -> Column:
-                        return F.struct(fe["first"].alias("first"), fe["ext"].alias("ext"),
-                                        F.concat(right, _children(h, r, fe["ext"], ["COO"])).alias("items"))
-
-                    first = F.try_element_at(right, F.lit(1))
-                    ext = let(first, lambda f: F.struct(f.alias("first"), _walk(vob, f).alias("ext")))
-                    e2s = F.when(F.size(right) > 0, let(let(ext, bind_ext), objects)).otherwise(F.array(F.struct(
-                        F.lit(0).alias("item"), F.array().cast("array<string>").alias("words"),
-                        F.lit(None).cast("long").alias("loc"))))
-                    return F.transform(e2s, lambda e2: F.struct(
-                        rel_pos.alias("rel_pos"), e2["item"].alias("item"),
-                        F.array(rel_text, F.array_join(e1, " "), F.array_join(e2["words"], " ")).alias("triple"),
-                        e1_loc.cast("long").alias("e1_loc"), e2["loc"].cast("long").alias("e2_loc")))
-
-                bound = let(left, lambda lf: F.struct(
-                    lf.alias("left"), F.when(lf.isNotNull(), _walk(att, lf)).alias("lo"),
-                    _children(h, r, rel, ["VOB"]).alias("right")))
-                return let(bound, with_left)
-
-            return F.flatten(F.transform(relations, per_relation))
-
-        def with_roots(rs: Column) -> Column:
-            ptrs = let(F.try_element_at(rs, F.lit(1)), lambda root: F.struct(
-                _pointer(h, r, ["ATT", "SBV"], last=False).alias("att"),
-                _pointer(h, r, ["VOB"], last=True).alias("vob"), root.alias("root")))
-            return F.when(F.size(rs) == 1, let(ptrs, with_ptrs))
-
-        return let(roots, with_roots)
-
-    return let(F.struct(w.alias("w"), h.alias("h"), r.alias("r")), body)
+    kind = "array<struct<rel_pos:int,item:int,rel:string,e1:string,e2:string,e1_loc:bigint,e2_loc:bigint>>"
+
+    @F.arrow_udf(kind)
+    def found(w: pa.Array, h: pa.Array, r: pa.Array) -> pa.Array:
+        rows = map(sentence_triples, w.to_pylist(), h.to_pylist(), r.to_pylist())
+        return pa.array(rows, pa.list_(pa.struct([("rel_pos", pa.int32()), ("item", pa.int32()), ("rel", pa.string()), ("e1", pa.string()),
+                                                  ("e2", pa.string()), ("e1_loc", pa.int64()), ("e2_loc", pa.int64())])))
+
+    return F.transform(found(_c(words), _c(heads), _c(rels)), lambda x: F.struct(
+        x["rel_pos"].alias("rel_pos"), x["item"].alias("item"),
+        F.array(spaced_chars(x["rel"]) if spaced_relation else x["rel"], x["e1"], x["e2"]).alias("triple"),
+        (x["e1_loc"] + off).cast("long").alias("e1_loc"),
+        F.when(x["item"] == 0, x["e2_loc"] + off).otherwise(x["e2_loc"]).cast("long").alias("e2_loc")))
 
 
 def sentence_offsets(sentences: DataFrame, text: str, order: str, n_words: str) -> Column:

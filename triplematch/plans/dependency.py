@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,34 +18,42 @@ LEFT_RELS = ["ATT", "ATT", "SBV", "ADV"]
 RIGHT_RELS = ["VOB", "ATT", "COO", "VOB", "ADV"]
 
 
-def _arc(tid: Column, sno: Column, n: Column, i: Column) -> Column:
-    """Stand-in parser output for token i (1-based) of an n-token sentence: struct(head, rel)."""
-    r = ((n + 1) / 2).cast("int")
-    left = F.element_at(F.array(*[F.lit(x) for x in LEFT_RELS]), ((tid + i) % 4 + 1).cast("int"))
-    right = F.element_at(F.array(*[F.lit(x) for x in RIGHT_RELS]), ((tid + sno + i) % 5 + 1).cast("int"))
-    no_head = ((tid + sno) % 11) == 0
-    head = (F.when(i == r, F.lit(0))
-             .when((i < r - 1) & ((tid + i) % 6 == 0), r)
-             .when(i < r, i + 1)
-             .when((i > r + 1) & ((tid + sno + i) % 7 == 0), r)
-             .otherwise(i - 1))
-    rel = (F.when(i == r, F.when(no_head, F.lit("ROOT")).otherwise(F.lit("HED")))
-            .when((i < r - 1) & ((tid + i) % 6 == 0), F.lit("ADV"))
-            .when(i == r - 1, F.lit("SBV"))
-            .when(i < r, left)
-            .when((i > r + 1) & ((tid + sno + i) % 7 == 0), F.lit("COO"))
-            .when(i == r + 1, F.lit("VOB"))
-            .otherwise(right))
-    return F.struct(head.cast("int").alias("head"), rel.alias("rel"))
+RELS = ["ATT", "SBV", "ADV", "VOB", "COO", "HED", "ROOT"]
+
+
+def _arcs(tid: Column, sno: Column, n: Column) -> Column:
+    """Stand-in parser output for an n-token sentence, over Arrow batches: ``struct<heads, rels>``. Without a text id the rules
+    that look at it don't apply, and relations picked by it are null."""
+    lefts, rights = (np.array([RELS.index(x) for x in xs]) for xs in (LEFT_RELS, RIGHT_RELS))
+    code = RELS.index
+
+    @F.arrow_udf("struct<heads:array<int>,rels:array<string>>")
+    def arcs(tids: pa.Array, numbers: pa.Array, sizes: pa.Array) -> pa.Array:
+        size = sizes.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(size)), size)
+        n, i = size[row], np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + 1
+        known = pc.is_valid(tids).to_numpy(zero_copy_only=False)[row]
+        t = pc.fill_null(tids, 0).to_numpy(zero_copy_only=False).astype(np.int64)[row]
+        s = numbers.to_numpy(zero_copy_only=False).astype(np.int64)[row]
+        r = (n + 1) // 2
+        to_root = known & (i < r - 1) & ((t + i) % 6 == 0)
+        coordinate = known & (i > r + 1) & ((t + s + i) % 7 == 0)
+        head = np.select([i == r, to_root, i < r, coordinate], [0, r, i + 1, r], i - 1)
+        top = np.where(known & ((t + s) % 11 == 0), code("ROOT"), code("HED"))
+        rel = np.select([i == r, to_root, i == r - 1, i < r, coordinate, i == r + 1],
+                        [top, code("ADV"), code("SBV"), lefts[(t + i) % 4], code("COO"), code("VOB")], rights[(t + s + i) % 5])
+        picked = ~to_root & ~coordinate & (np.abs(i - r) > 1)
+        rels = pa.array(RELS).take(pa.array(rel, mask=picked & ~known))
+        ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(head, pa.int32())), pa.ListArray.from_arrays(ends, rels)],
+                                          ["heads", "rels"])
+    return arcs(tid, sno, n)
 
 
 def parsed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     sents = tagging.sentences(table(spark, sf_dir, "documents", spread_on="doc_id"), "doc_id")
-    tid, sno = F.col("tid"), F.col("sent_no")
-    arcs = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: _arc(tid, sno, F.size("words"), i))
-    return sents.select(F.col("tid").alias("text_id"), "sent_no", "words",
-                        F.transform(arcs, lambda a: a["head"]).alias("heads"),
-                        F.transform(arcs, lambda a: a["rel"]).alias("rels"))
+    arcs = sents.select(F.col("tid").alias("text_id"), "sent_no", "words", _arcs(F.col("tid"), F.col("sent_no"), F.size("words")).alias("arcs"))
+    return arcs.select("text_id", "sent_no", "words", "arcs.heads", "arcs.rels")
 
 
 def _sql_arcs() -> str:
