@@ -81,6 +81,37 @@ def test_ids_equal_the_library(library):
     assert [x.tolist() for x in enc.batch(TEXTS[::-1], group=1)] == want[::-1]
 
 
+def test_ids_equal_the_library_on_odd_text(library, monkeypatch):
+    rng = np.random.default_rng(5)
+    parts = [" ", "  ", " a", "The", "n't", "12", "\n", " \n", "\t", "\x85", "\xa0", "\u3000", "\x1f", "\x00", "é", "日本", "😀", "...", "'s", " <|endoftext|>"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30), p=[.2] + [.8 / 19] * 19)) for _ in range(600)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    enc = packing.Encoder()
+    assert [x.tolist() for x in enc.batch(texts)] == want
+    monkeypatch.setattr(packing, "GROUP", 40)          # small groups, and texts longer than a group
+    assert [x.tolist() for x in enc.batch(texts)] == want
+    assert list(enc.batch([])) == []
+
+
+def test_each_distinct_word_of_a_batch_is_encoded_once():
+    """However many rare words there are: the work follows the distinct words, and nothing stays in memory."""
+    words = [f"w{i:06d}" for i in range(700_000)]
+    texts = [" ".join(words[a:a + 1000]) for a in range(0, len(words), 1000)]
+    enc = packing.Encoder()
+    fast, seen = enc.fast, []
+
+    class Counting:
+        def encode_ordinary(self, text):
+            seen.append(len(text))
+            return fast.encode_ordinary(text)
+    enc.fast = Counting()
+    held = set(vars(enc))
+    got = list(enc.batch(texts + texts))
+    assert sum(seen) < 1.05 * sum(map(len, texts))
+    assert all((a == b).all() for a, b in zip(got[:700], got[700:]))
+    assert set(vars(enc)) == held and not any(isinstance(v, dict) for v in vars(enc).values())
+
+
 def check_pieces(rows, texts, library):
     """Round trip: every id of every document in exactly one piece, sequences gapless and of at most 1024."""
     ids = {d: library.encode(t or "", add_special_tokens=False).ids + [0] for d, t in texts.items()}

@@ -10,17 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triplematch.llm.common import id_text
 
-#: Bytes of chunks and their ids that a worker remembers, in each of two generations: a full one becomes the older and
-#: the one before it is dropped, so chunks in use stay. It changes no result.
-MEMORY = 64 << 20
-#: Bytes that Python holds for an entry besides its text and ids: two objects and its share of the table.
-ENTRY = 190
+#: Characters of text whose distinct words are encoded together; a longer text is encoded whole. It changes no result.
+GROUP = 16 << 20
+#: Texts whose ids are put together at once.
+STEP = 64
 #: Penalty, in tokens of padding, for a cut at a sentence end inside a document, and for a cut inside a sentence.
 SENTENCE_CUT = 1
 HARD_CUT = 4
@@ -34,9 +34,10 @@ class Encoder:
     """Ids of the public byte-level BPE vocabulary, equal to those of the ``tokenizers`` library.
 
     The vocabulary's splitting pattern never lets a piece reach from a visible character across a blank, so a text
-    cut before each single blank is encoded chunk by chunk, and the ids of frequent chunks are remembered. Texts
-    with runs of white space where such a cut would be wrong are encoded whole, and texts that spell a special
-    token go through the ``tokenizers`` library itself.
+    may be cut before each single blank. Each distinct word of a group of texts, with its blank, is encoded once, and
+    the ids are put together by place. Nothing is kept from one group to the next. Texts with runs of white space
+    where such a cut would be wrong are encoded whole, and texts that spell a special token go through the
+    ``tokenizers`` library itself.
     """
 
     def __init__(self, path: str | None = None, ranks: str | None = None):
@@ -51,9 +52,6 @@ class Encoder:
         self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table,
                                       special_tokens={})
         self._load, self._full = (lambda: Tokenizer.from_file(path)), None
-        self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.held = 0                                        # bytes of the younger memory
         #: ids that end a sentence: their bytes end in a full stop, question or exclamation mark, or hold a line end
         self.ends = np.zeros(max(table.values()) + 2, bool)
         for b, i in table.items():
@@ -69,54 +67,74 @@ class Encoder:
             if self._full is None:
                 self._full = self._load()
             return np.array(self._full.encode(text, add_special_tokens=False).ids, np.uint16)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> np.ndarray:
         return np.array(self.fast.encode_ordinary(text), np.uint16)
 
-    def _learn(self, new: list[str]) -> None:
-        """Encodes chunks that the memory lacks. Those that start with a blank and a visible character are encoded
-        as one string and told apart by the byte lengths of the ids."""
-        joined = [c for c in new if len(c) > 1 and c[0] == " " and not c[1].isspace()]
-        if joined:
-            ids = np.array(self.fast.encode_ordinary("".join(joined)), np.uint16)
-            ends = np.cumsum([len(c.encode()) for c in joined])
-            stops = (np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1).tolist()
-            raw, a = ids.tobytes(), 0
-            for c, z in zip(joined, stops):
-                self.memory[c] = raw[2 * a:2 * z]
-                a = z
-        for c in new:
-            if c not in self.memory:
-                self.memory[c] = np.array(self.fast.encode_ordinary(c), np.uint16).tobytes()
-
-    def batch(self, texts: list[str], group: int = 64) -> Iterator[np.ndarray]:
+    def _table(self, words: pa.Array, firsts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, length) of a blank and each of ``words``, then of each of ``firsts``, in one array of ids.
+
+        Words that start with a visible character are encoded as one string and told apart by the byte lengths of
+        the ids; the others, and ``firsts``, one by one.
+        """
+        apart = pc.or_(pc.equal(pc.binary_length(words), 0), pc.utf8_is_space(pc.utf8_slice_codeunits(words, 0, 1)))
+        visible = words.filter(pc.invert(apart))
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(visible)], visible), " ")[0].as_py()
+        ids = self._plain(" " + joined if len(visible) else "")
+        ends = np.cumsum(np.asarray(pc.binary_length(visible)).astype(np.int64) + 1)
+        stops = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
+        rest, sizes = [], []
+        for c in [" " + w for w in words.filter(apart).to_pylist()] + firsts:
+            one = self.fast.encode_ordinary(c)
+            rest += one
+            sizes.append(len(one))
+        alone = np.append(apart.to_numpy(zero_copy_only=False), np.ones(len(firsts), bool))
+        length, start = np.empty(len(alone), np.int64), np.empty(len(alone), np.int64)
+        length[~alone], length[alone] = np.diff(stops, prepend=0), sizes
+        start[~alone], start[alone] = stops - length[~alone], len(ids) + np.cumsum(sizes) - sizes
+        return np.append(ids, np.array(rest, np.uint16)), start, length
+
+    def _cut(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of texts that may be cut before each blank."""
+        cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        at, chunks = np.asarray(cut.offsets), cut.values
+        inner = np.ones(len(chunks), bool)
+        inner[at[:-1]] = False                               # the chunk that starts a text has no blank before it
+        words = chunks.filter(pa.array(inner)).dictionary_encode()
+        ids, start, length = self._table(words.dictionary, chunks.take(pa.array(at[:-1])).to_pylist())
+        entry = np.empty(len(chunks), np.int64)
+        entry[inner] = words.indices
+        entry[at[:-1]] = np.arange(len(texts)) + len(words.dictionary)
+        for a in range(0, len(texts), STEP):
+            z = min(a + STEP, len(texts))
+            e = entry[at[a]:at[z]]
+            n = length[e]
+            ends = np.cumsum(n)
+            out = ids[np.repeat(start[e] - ends + n, n) + np.arange(ends[-1])]
+            yield from np.split(out, ends[at[a + 1:z] - at[a] - 1])
+
+    def batch(self, texts: list[str], group: int = 4096) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
-        for g in range(0, len(texts), group):
-            part = texts[g:g + group]
-            cut = [None if _SPECIAL in t or "\x00" in t or _UNSAFE.search(t) else
-                   t.replace(" ", "\x00 ").split("\x00") for t in part]
-            memory = self.memory
-            new = {c for chunks in cut if chunks for c in chunks if c not in memory}
-            if new:
-                if self.held > MEMORY:                # full: start again with what this group needs
-                    self.older, self.memory, self.held = memory, {}, 0
-                    memory = self.memory
-                    new = {c for chunks in cut if chunks for c in chunks}
-                older = self.older
-                known = {c: older[c] for c in new if c in older}
-                memory.update(known)
-                self._learn(sorted(new - known.keys()))
-                self.held += ENTRY * len(new) + 4 * sum(map(len, new))    # an id stands for a character at least
-            for text, chunks in zip(part, cut):
-                if chunks is None:
-                    yield self._whole(text)
-                else:
-                    yield np.frombuffer(b"".join([memory[c] for c in chunks]), np.uint16)
+        a = 0
+        while a < len(texts):
+            z, held = a, 0
+            while z < len(texts) and z - a < group and (z == a or held + len(texts[z]) <= GROUP):
+                held += len(texts[z])
+                z += 1
+            part = texts[a:z]
+            whole = [len(t) > GROUP or _SPECIAL in t or _UNSAFE.search(t) is not None for t in part]
+            ids = self._cut([t for t, w in zip(part, whole) if not w])
+            for t, w in zip(part, whole):
+                yield self._whole(t) if w else next(ids)
+            a = z
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
 def encoder(path: str | None, ranks: str | None) -> Encoder:
-    """One encoder per worker process: what the vocabulary files say, and a memory of bounded size."""
+    """One encoder per worker process: what the vocabulary files say, nothing of the texts."""
     if (path, ranks) not in _ENCODERS:
         _ENCODERS[path, ranks] = Encoder(path, ranks)
     return _ENCODERS[path, ranks]
