@@ -83,6 +83,42 @@ def test_jaccard_empty(spark, make_docs):
     assert [tuple(r) for r in jaccard_join.jaccard_components(make_docs([(1, None)])).collect()] == [(1, 0, 1)]
 
 
+def test_jaccard_writes_prefixes_once(spark, make_docs, monkeypatch):
+    written, real = [], jaccard_join.cut
+    monkeypatch.setattr(jaccard_join, "cut", lambda df: written.append(set(df.columns)) or real(df))
+    rows = near_rows(4, 30)
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(make_docs(rows), 5, 80).collect())
+    assert got == brute_components(rows, 5, 80)
+    assert sum("tokens" in c for c in written) == 1
+    assert [c for c in written if "shared" in c] == [{"token", "gid", "n", "pos", "shared"}]
+
+
+@pytest.mark.parametrize("repeat", [False, True])
+def test_stage_shuffles_only_rows_that_may_go(spark, make_docs, repeat):
+    ids = [int(i) for i in np.random.default_rng(8).permutation(200) + 1]
+    rows = [(i, " ".join(f"{i // 2 if i < 20 else i}x{k}" for k in range(60))) for i in ids]
+    docs = make_docs(rows + [(500, "twice"), (500, "other words")] * repeat).coalesce(1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [(r.doc_id, r.text) for r in jaccard_join.keep_one(docs, 5, 80).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = [r for r in rows if r[0] >= 20 or r[0] % 2 == 0 or r[0] == 1]
+    assert got[:len(want)] == want              # in the order of the input: these rows met no exchange
+    assert sorted(got[len(want):]) == [(500, "other words"), (500, "twice")] * repeat
+
+
+def test_shingle_counts_of_any_size(spark, make_docs):
+    rows = [(i, f"a b c d{i % 3}") for i in range(300)] + [(400 + i, f"e{i} f g") for i in range(5)]
+    counts = np.zeros(jaccard_join.SKETCH, np.int64)
+    for _, t in rows:
+        np.add.at(counts, jaccard_join._cell(jaccard_join.shingles(t, 3)), 1)
+    docs = make_docs(rows).repartition(1)
+    assert counts.max() == 300
+    assert (jaccard_join.frequency_classes(docs, 3) == np.floor(2 * np.log2(np.maximum(counts, 1)))).all()
+
+
 def test_parity_bitmap_never_prunes_a_link():
     rng = np.random.default_rng(5)
     for _ in range(200):

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triplematch.llm.common import cut, fresh, gram_hashes, id_text, maybe_member, member_bitmap, own_columns, word_hashes
@@ -36,16 +36,20 @@ def _cell(g: np.ndarray) -> np.ndarray:
 def frequency_classes(rows: DataFrame, words: int) -> np.ndarray:
     """A coarse frequency class for each of SKETCH cells of shingle hashes, counted over all documents.
 
-    Each task adds up one array of SKETCH counters over its rows and sends it in SKETCH_BLOCKS ranges of cells; the
-    ranges are summed up by as many tasks, each streaming one range (64 KB) of every input task. The driver receives
-    SKETCH numbers. The classes only order the shingles: rare cells come first in a prefix. Any order gives the same
+    Each task adds up one array of SKETCH counters over its rows and sends it in SKETCH_BLOCKS ranges of cells, each
+    in the narrowest integers that hold its counts; the ranges are summed up by as many tasks, each streaming one
+    range of every input task. The driver receives SKETCH numbers. The classes only order the shingles: rare cells come first in a prefix. Any order gives the same
     links, so cells shared by chance cost time, not results.
     """
     width = SKETCH // SKETCH_BLOCKS
 
     def ranges(total: dict[int, np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(
-            [c.astype("<u8").tobytes() for c in total.values()], pa.binary())], ["block", "counts"])
+            [c.astype(np.min_scalar_type(c.max()).newbyteorder("<")).tobytes() for c in total.values()], pa.binary())],
+            ["block", "counts"])
+
+    def counters(raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, f"<u{len(raw) // width}").astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
@@ -58,13 +62,13 @@ def frequency_classes(rows: DataFrame, words: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total[i] = total.get(i, 0) + np.frombuffer(raw.as_buffer(), "<u8").astype(np.int64)
+                total[i] = total.get(i, 0) + counters(raw.as_py())
         yield ranges(total)
 
     parts = rows.select("text").mapInArrow(count, "block int, counts binary")
     counts = np.zeros(SKETCH, np.int64)
     for i, raw in parts.repartition(SKETCH_BLOCKS, "block").mapInArrow(add, "block int, counts binary").collect():
-        counts[i * width:(i + 1) * width] = np.frombuffer(raw, "<u8")
+        counts[i * width:(i + 1) * width] = counters(raw)
     typical = max(1.0, float(np.median(counts)))
     return np.floor(2 * np.log2(np.maximum(counts / typical, 1))).astype(np.uint8)
 
@@ -108,11 +112,11 @@ def _near(a: str, b: str, percent: int) -> Column:
 
 
 def _fits(a: str, b: str, percent: int) -> Column:
-    """Length filter, position filter (what can still be shared from these positions on) and bitmap filter."""
+    """Length filter and position filter (what can still be shared from these positions on)."""
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
     least, most = F.least(na, nb), F.greatest(na, nb)
     shared = F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos"))
-    return (least * 100 >= most * percent) & (shared * (100 + percent) >= (na + nb) * percent) & _near(a, b, percent)
+    return (least * 100 >= most * percent) & (shared * (100 + percent) >= (na + nb) * percent)
 
 
 def _renamed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -208,36 +212,39 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
        out at 2. either joins two documents that are connected already or is found here, so components are exact,
        and a group of near copies is never expanded into all its pairs.
 
+    Prefixes and bitmaps stay with the row that stands for its group: classes and groups are found on digests and
+    hashes, the prefixes of other rows are left out in the scan, and only tokens that groups share are shuffled with
+    their group. Bitmaps of sets join the postings for step 3 only.
+
     Nothing is capped: frequent tokens are only ordered last. Null texts count as empty. Rows without a doc_id are
     left out; rows that repeat a doc_id are one document in the graph, with the links of each. An empty table
     gives no rows.
     """
     rows = id_text(docs)
-    table = cut(set_table(rows, words, percent, frequency_classes(rows, words)))
-    classes = cut(table.filter("n > 0").groupBy("digest", "n").agg(F.min(F.struct("doc_id", "tokens", "bits")).alias("r"))
-                  .select("digest", "n", F.col("r.doc_id").alias("id"), F.col("r.tokens").alias("tokens"),
-                          F.col("r.bits").alias("bits"), F.xxhash64("r.tokens").alias("k1"),
-                          F.xxhash64(F.lit(1), "r.tokens").alias("k2")))
-    groups = classes.groupBy("n", "k1", "k2").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("members"))
-    member = cut(classes.select("id", "n", "k1", "k2", "bits").join(groups, ["n", "k1", "k2"])
-                 .select("id", "gid", "members", "n", "bits"))
+    table = cut(set_table(rows, words, percent, frequency_classes(rows, words)).withColumn("rid", F.monotonically_increasing_id()))
+    stands = F.min(F.struct("doc_id", "rid", "bits", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2")))
+    classes = cut(table.filter("n > 0").groupBy("digest", "n").agg(stands.alias("r"))
+                  .select("digest", "n", F.col("r.doc_id").alias("id"), "r.rid", "r.bits", "r.k1", "r.k2"))
+    groups = (classes.groupBy("n", "k1", "k2").agg(F.min(F.struct("id", "rid")).alias("g"), F.count(F.lit(1)).alias("members"))
+              .select("n", "k1", "k2", F.col("g.id").alias("gid"), F.col("g.rid").alias("first"), "members"))
+    member = cut(classes.select("id", "rid", "n", "k1", "k2", "bits").join(groups, ["n", "k1", "k2"])
+                 .select("id", "gid", "members", "n", "bits", (F.col("rid") == F.col("first")).alias("heads"), "rid"))
 
     # postings of the groups: tokens that more than one group has
-    firsts = classes.select("id", "n", "tokens", "bits").join(
-        member.filter("id = gid").select("id", "members"), "id")
-    posted = firsts.select(F.col("id").alias("gid"), "n", F.when(F.col("members") == 1, F.col("bits")).alias("bits"),
-                           F.posexplode("tokens").alias("pos", "token"))
-    common = classes.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count > 1")
-    postings = cut(maybe_member(posted, "token", member_bitmap(common, "token"), how="keep"))
-    shared = postings.groupBy("gid").agg(F.count(F.lit(1)).alias("shared"))
-    ranked = postings.join(shared, "gid").select("token", "gid", "n", "bits", "pos", "shared")
+    heads = member.filter("heads").select("rid", "gid", "n")
+    key = F.xxhash64("rid").alias("key")
+    firsts = maybe_member(table.filter("n > 0").select("rid", "tokens", key), "key", member_bitmap(heads.select(key), "key"), how="keep")
+    common = firsts.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count > 1")
+    posted = maybe_member(firsts.select("rid", F.posexplode("tokens").alias("pos", "token")), "token",
+                          member_bitmap(common, "token"), how="keep")
+    postings = cut(posted.join(heads, "rid").select(
+        "token", "gid", "n", "pos", F.count(F.lit(1)).over(Window.partitionBy("rid")).alias("shared")))
 
     # one hub per token, and the first member of each group
-    hubs = ranked.groupBy("token").agg(F.max(F.struct("shared", (-F.col("gid")).alias("neg"), "n", "pos")).alias("h"),
+    hubs = postings.groupBy("token").agg(F.max(F.struct("shared", (-F.col("gid")).alias("neg"), "n", "pos")).alias("h"),
                                        F.count(F.lit(1)).alias("c")).filter("c > 1")
-    hubs = hubs.select("token", (-F.col("h.neg")).alias("h_gid"), F.col("h.n").alias("h_n"), F.col("h.pos").alias("h_pos"),
-                       F.lit(None).cast("array<long>").alias("h_bits"))
-    star = (_renamed(ranked, "g_", ("token",)).join(hubs, "token").filter(F.col("g_gid") != F.col("h_gid"))
+    hubs = hubs.select("token", (-F.col("h.neg")).alias("h_gid"), F.col("h.n").alias("h_n"), F.col("h.pos").alias("h_pos"))
+    star = (_renamed(postings, "g_", ("token",)).join(hubs, "token").filter(F.col("g_gid") != F.col("h_gid"))
             .filter(_fits("g_", "h_", percent)).select(F.col("g_gid").alias("x"), F.col("h_gid").alias("y")).distinct())
     inside = member.filter("members > 1 AND id <> gid").select(F.col("id").alias("x"), F.col("gid").alias("y"))
     bits = member.select("id", "n", "bits")
@@ -249,12 +256,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     # everything that is not connected yet
     labelled = cut(member.join(provisional, "id", "left").withColumn("label", F.coalesce("label", "id")))
-    spans = labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    spans = labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                        F.when(F.count(F.lit(1)) == 1, F.max("bits")).alias("bits"))
     spanned = cut(postings.join(spans, "gid").select("token", "gid", "n", "bits", "pos", "low", "high"))
     left, right = _renamed(spanned, "x_", ("token",)), _renamed(spanned, "y_", ("token",))
     one = (F.col("x_low") == F.col("x_high")) & (F.col("y_low") == F.col("y_high")) & (F.col("x_low") == F.col("y_low"))
     met = (left.join(right, (left["token"] == right["token"]) & (F.col("x_gid") < F.col("y_gid")) & ~one
-                     & _fits("x_", "y_", percent)).select("x_gid", "y_gid").distinct())
+                     & _fits("x_", "y_", percent) & _near("x_", "y_", percent)).select("x_gid", "y_gid").distinct())
     own = spans.filter("low <> high").select(F.col("gid").alias("x_gid"), F.col("gid").alias("y_gid"))
     parts = labelled.select("id", "gid", "n", "bits", "label")
     rest = (met.union(own).join(_renamed(parts, "x_"), "x_gid").join(
@@ -272,30 +280,46 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
 
+def _parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose doc_id is not among ``ids`` (doc_id), and those whose is; all columns. Only rows that
+    the bitmap of ``ids`` holds back are shuffled: the rest is told apart in the scan."""
+    own = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.struct(*own_columns(docs)).alias("row"))
+    ids = ids.select(F.col("doc_id").cast("long").alias("id"))
+    flagged = maybe_member(own, "id", member_bitmap(ids, "id"))
+    held = flagged.filter("_maybe")
+    clear = flagged.filter("NOT _maybe").select("row.*")
+    return clear.union(held.join(ids, "id", "left_anti").select("row.*")), held.join(ids, "id", "left_semi").select("row.*")
+
+
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id; all columns kept (the
     pipeline's stage). Rows without a doc_id go.
 
     Different texts under one doc_id are documents of their own: each but the first (by digest) joins the graph under
     a number beyond all ids. Rows that repeat doc_id and text are reduced to the first by the digest of their columns.
+    Rows are shuffled only where they may go or share their doc_id.
     """
     repeated = cut(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if repeated.isEmpty():
-        stay = jaccard_components(docs, words, percent).filter("doc_id = component_id").select("doc_id")
-        return docs.join(stay, "doc_id", "left_semi").select(*own_columns(docs))
+        gone = cut(jaccard_components(docs, words, percent).filter("doc_id <> component_id").select("doc_id"))
+        return _parted(docs, gone)[0]
     sha, node = fresh(docs, "_sha"), fresh(docs, "_node")
-    keyed = docs.filter("doc_id IS NOT NULL").withColumn(sha, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    texts = keyed.join(repeated, "doc_id", "left_semi").select("doc_id", sha).distinct()
+    single, several = _parted(docs, repeated)
+    keyed = several.withColumn(sha, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    texts = keyed.select("doc_id", sha).distinct()
     firsts = texts.groupBy("doc_id").agg(F.min(sha).alias(sha))
     others = texts.join(firsts, ["doc_id", sha], "left_anti").withColumn("_order", F.concat_ws(" ", sha, "doc_id"))
     top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
     others = cut(number_sorted(cut(others), "_order", "_n").select("doc_id", sha, (F.col("_n") + 1 + F.lit(top)).alias(node)))
     named = keyed.join(others, ["doc_id", sha], "left").withColumn(node, F.coalesce(node, F.col("doc_id").cast("long")))
-    found = jaccard_components(named.select(F.col(node).alias("doc_id"), "text"), words, percent).withColumnRenamed("doc_id", node)
+    every = single.select(F.col("doc_id").cast("long").alias("doc_id"), "text").union(named.select(F.col(node).alias("doc_id"), "text"))
+    found = jaccard_components(every, words, percent).withColumnRenamed("doc_id", node)
     own = found.join(others.select(node, F.col("doc_id").alias("_own")), node, "left")
-    stay = own.groupBy("component_id").agg(F.min(F.struct(F.coalesce("_own", node).alias("id"), F.col(node))).alias("least"))
-    kept = named.join(stay.select(F.col(f"least.{node}").alias(node)), node, "left_semi")
+    stay = cut(own.groupBy("component_id").agg(F.min(F.struct(F.coalesce("_own", node).alias("id"), F.col(node))).alias("least"))
+               .select(F.col(f"least.{node}").alias(node)))
+    kept = named.join(stay, node, "left_semi")
+    gone = cut(found.select(F.col(node).alias("doc_id")).join(stay.select(F.col(node).alias("doc_id")), "doc_id", "left_anti").distinct())
     rest = [x for c, x in zip(docs.columns, own_columns(docs)) if c not in ("doc_id", "text")]
     order = F.sha2(F.to_json(F.struct(*rest)), 256) if rest else F.lit("")
-    return (kept.groupBy(node).agg(F.min_by(F.struct(*own_columns(docs)), order).alias("_row"))
-            .select("_row.*").select(*docs.columns))
+    return _parted(single, gone)[0].union(
+        kept.groupBy(node).agg(F.min_by(F.struct(*own_columns(docs)), order).alias("_row")).select("_row.*").select(*own_columns(docs)))
